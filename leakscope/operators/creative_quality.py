@@ -37,13 +37,25 @@ def _banner(c: Column) -> Column:
     return F.arrays_overlap(c, F.array(*[F.lit(s) for s in K.BANNER_SIZES]))
 
 
+def with_parts(df: DataFrame) -> DataFrame:
+    """Add what the text checks look at: the name's issue and sizes, and the folded product.
+
+    As columns they are worked out once per row, however many checks refer to them.
+    """
+    return df.withColumns(
+        {
+            "_issue": blank_reason(F.col("creative")),
+            "_sizes": sizes_in(F.col("creative")),
+            "_product": F.coalesce(fold(F.col("product")), F.lit("")),
+        }
+    )
+
+
 def text_checks(columns: list[str]) -> dict[str, Column]:
-    """Checks that follow from a row's texts."""
-    name = F.col("creative")
-    ok = blank_reason(name).isNull()
-    product = F.coalesce(fold(F.col("product")), F.lit(""))
+    """Checks that follow from a row's texts, over the columns of `with_parts`."""
+    name, product, sizes = F.col("creative"), F.col("_product"), F.col("_sizes")
+    ok = F.col("_issue").isNull()
     social = product == "social mirror"
-    sizes = sizes_in(name)
     checks = {
         "blank_creative": ~ok,
         "sm_display_size": ok & social & _banner(sizes),
@@ -107,7 +119,7 @@ def creative_checks(creative: DataFrame) -> DataFrame:
           for k, c in row_checks.items() for m in ("impressions", "spend")],
     )
     text = text_checks(creative.columns)
-    marked = groups.withColumns({f"is_{k}": c for k, c in text.items()})
+    marked = with_parts(groups).withColumns({f"is_{k}": c for k, c in text.items()})
 
     def finding(key, rows, impressions, spend):
         label, severity = K.CREATIVE_CHECKS[key]
@@ -141,14 +153,14 @@ def creative_checks(creative: DataFrame) -> DataFrame:
 
 def creative_check_rows(creative: DataFrame, key: str) -> DataFrame:
     """The rows behind one check, with the sizes found in the name."""
-    marked = creative.withColumns(
-        {"issue": blank_reason(F.col("creative")),
-         "sizes": F.array_join(F.array_distinct(sizes_in(F.col("creative"))), ", ")}
-    )
+    marked = with_parts(creative)
     if key == "id_name_conflict":
         ids = id_name_conflict(creative).select("creative_id")
-        return marked.filter(F.col("issue").isNull()).join(ids, "creative_id", "left_semi")
-    return marked.filter((text_checks(creative.columns) | metric_checks())[key])
+        rows = marked.filter(F.col("_issue").isNull()).join(ids, "creative_id", "left_semi")
+    else:
+        rows = marked.filter((text_checks(creative.columns) | metric_checks())[key])
+    sizes = F.array_join(F.array_distinct("_sizes"), ", ")
+    return rows.select(*creative.columns, F.col("_issue").alias("issue"), sizes.alias("sizes"))
 
 
 def blank_campaigns(creative: DataFrame) -> DataFrame:
@@ -218,14 +230,14 @@ def creative_flags_grouped(creative: DataFrame) -> DataFrame:
     """Trafficking findings per creative instead of per day."""
     keys = present(creative, CREATIVE_KEYS)
     checks = text_checks([])
-    per = creative.groupBy(*keys).agg(
+    per = with_parts(creative.groupBy(*keys).agg(
         F.count("*").alias("days"), *sums("impressions", "clicks", "spend")
-    ).withColumn(
+    )).withColumn(
         "key", F.explode(F.array_compact(F.array(*[
             F.when(checks[k], F.lit(k)) for k in GROUPED_CHECKS
         ])))
     )
-    sizes = F.array_join(F.array_distinct(sizes_in(F.col("creative"))), ", ")
+    sizes = F.array_join(F.array_distinct("_sizes"), ", ")
     return per.select(
         "key", *keys, sizes.alias("sizes"), "days", "impressions", "clicks",
         money("spend").alias("spend"),
@@ -234,7 +246,7 @@ def creative_flags_grouped(creative: DataFrame) -> DataFrame:
 
 def missing_preview_by_creative(creative: DataFrame) -> DataFrame:
     keys = present(creative, CREATIVE_KEYS)
-    rows = creative.filter(text_checks(["preview_url"])["missing_preview"])
+    rows = named(creative).filter(is_blank(F.col("preview_url")))
     return rows.groupBy(*keys).agg(
         F.count("*").alias("days"), *sums("impressions", "clicks"),
         money(total(F.col("spend"))).alias("spend"),

@@ -34,3 +34,8 @@ def exchange(spark: SparkSession, sf: str) -> DataFrame:
 def creative(spark: SparkSession, sf: str) -> DataFrame:
     """Creative delivery."""
     return staged(spark, sf, "creative", lambda: sample.creative(spark, sf))
+
+
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Export files and when they were modified."""
+    return staged(spark, sf, "manifest", lambda: sample.manifest(spark, sf))

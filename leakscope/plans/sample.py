@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The line items, spread over the cores when they come in fewer files than there are cores.
+
+    A real fact table has many files and is left as it lies; one small file would otherwise keep
+    everything behind it in a single task.
+    """
+    df = table(spark, sf, "lineitem")
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _long(c) -> Column:
     return F.col(c).cast("bigint")
 
@@ -36,49 +48,35 @@ def _pick(c: Column, mapping: dict, otherwise=None) -> Column:
 
 
 def _delivery_columns() -> dict[str, tuple[str, Column]]:
-    """Column -> (dimension tables it needs, expression)."""
+    """Column -> (dimension tables it needs, expression over the joined row)."""
     site = F.col("l_linenumber") <= 4
-    product = _pick(F.col("p_type"), PRODUCTS)
-    base_name = F.replace(
-        F.replace("p_name", F.lit("gizmo"), F.lit("puzzle game")), F.lit("bolt"),
-        F.lit("flashlight"),
-    )
-    # Names under which flagged rows occur, so that not every app name is a flagged one.
-    pro = F.when(F.col("l_suppkey") % 4 == 1, " pro").otherwise("")
-    app_name = F.concat(base_name, pro)
-    placement = F.when(site, F.col("s_name")).otherwise(app_name)
-    brand = F.regexp_extract("p_brand", r"(\d+)", 1)
-    bundle = F.concat(
-        F.lit("com.brand"), brand, F.lit(".app"), F.col("p_partkey").cast("string")
-    )
-    app_id = F.when(site, F.col("s_name")).otherwise(bundle)
     lane = F.col("l_suppkey") % 10
     ppm = (
         F.when(lane == 0, 40000).when(lane == 1, 100).when(F.col("p_type") == "LARGE", 300)
         .otherwise(3000)
     )
-    impressions = _long("l_quantity") * 1000
     conversions = F.when(
         (F.col("l_returnflag") == "R") & (lane != 1), F.col("l_linenumber")
     ).otherwise(0).cast("bigint")
     block = (F.col("l_returnflag") == "A") & (F.col("l_suppkey") % 4 == 1)
+    placement = F.when(site, F.col("s_name")).otherwise(F.col("_app_name"))
     return {
         "served_date": ("", F.col("l_shipdate").cast("date")),
         "business_unit": ("ocn", F.col("n_name")),
         "client": ("oc", F.col("c_name")),
-        "product": ("p", product),
+        "product": ("p", _pick(F.col("p_type"), PRODUCTS)),
         "strategy_type": ("o", F.col("o_orderpriority")),
         "strategy_name": (
             "oc", F.concat(F.col("o_orderpriority"), F.lit(" / "), F.col("c_mktsegment"))),
         "campaign_id": ("", F.col("l_orderkey").cast("string")),
         "placement_type": ("", F.when(site, "site").otherwise("app")),
         "placement": ("sp", placement),
-        "app_id": ("sp", app_id),
+        "app_id": ("sp", F.when(site, F.col("s_name")).otherwise(F.col("_bundle"))),
         "dsp": ("", F.when(F.col("l_suppkey") % 5 == 2, "TTD/DV360").otherwise("direct")),
         "raw_value": ("sp", F.when(site, F.col("s_name")).otherwise(
-            F.concat(app_name, F.lit(" ("), bundle, F.lit(")")))),
-        "impressions": ("", impressions),
-        "clicks": ("p", _div(impressions * ppm, 1000000)),
+            F.concat(F.col("_app_name"), F.lit(" ("), F.col("_bundle"), F.lit(")")))),
+        "impressions": ("", F.col("_impr")),
+        "clicks": ("p", _div(F.col("_impr") * ppm, 1000000)),
         "conversions": ("", conversions),
         "view_throughs": ("", F.when(F.col("l_linestatus") == "O", 1).otherwise(0).cast("bigint")),
         "spend": ("", F.col("l_extendedprice").cast("decimal(18,2)")),
@@ -90,12 +88,30 @@ def _delivery_columns() -> dict[str, tuple[str, Column]]:
     }
 
 
+def _bundle() -> Column:
+    return F.concat(
+        F.lit("com.brand"), F.regexp_extract("p_brand", r"(\d+)", 1), F.lit(".app"),
+        F.col("p_partkey").cast("string"))
+
+
+def _part_names(part: DataFrame) -> DataFrame:
+    """Parts with their app name and bundle id, worked out once per part."""
+    name = F.replace(
+        F.replace("p_name", F.lit("gizmo"), F.lit("puzzle game")), F.lit("bolt"),
+        F.lit("flashlight"))
+    return part.select(
+        "p_partkey", "p_type", name.alias("_part_name"), _bundle().alias("_bundle"),
+        F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("_brand"))
+
+
 def delivery(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Site and app delivery at line grain. Column pruning decides the scan's columns."""
     defined = _delivery_columns()
     columns = columns or tuple(defined)
     need = {t for c in columns for t in defined[c][0]}
-    df = table(spark, sf, "lineitem")
+    df = lines(
+        spark, sf, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     if "o" in need:
         df = df.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "c" in need:
@@ -103,9 +119,14 @@ def delivery(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     if "n" in need:
         df = df.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     if "p" in need:
-        df = df.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        parts = _part_names(table(spark, sf, "part"))
+        # Names under which flagged rows occur, so that not every app name is a flagged one.
+        pro = F.when(F.col("l_suppkey") % 4 == 1, " pro").otherwise("")
+        df = df.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn(
+            "_app_name", F.concat("_part_name", pro))
     if "s" in need:
         df = df.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    df = df.withColumn("_impr", _long("l_quantity") * 1000)
     return df.select(*[defined[c][1].alias(c) for c in columns])
 
 
@@ -194,7 +215,7 @@ def combined_export(spark: SparkSession, sf: str) -> DataFrame:
 
 def restated(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of several exports that restate the same key; version columns tell which is newer."""
-    return table(spark, sf, "lineitem").select(
+    return lines(spark, sf).select(
         F.col("l_orderkey").cast("string").alias("Campaign ID"),
         F.col("l_linenumber").cast("string").alias("Strategy Name"),
         F.col("l_shipdate").cast("date").alias("file_date"), F.col("l_partkey").alias("version_1"),
@@ -207,7 +228,7 @@ def restated_creatives(spark: SparkSession, sf: str) -> DataFrame:
     """As `restated` at creative grain, with creative names that are null."""
     name = F.when(F.col("p_partkey") % 5 == 0, F.lit(None).cast("string")).when(
         F.col("p_partkey") % 5 == 1, F.lit(" ")).otherwise(F.col("p_name"))
-    df = table(spark, sf, "lineitem").join(
+    df = lines(spark, sf).join(
         table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return df.select(
         name.alias("Creative Name"), (F.col("l_suppkey") % 50).cast("string").alias("Campaign ID"),
@@ -267,12 +288,8 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("line "), F.col("line").cast("string")).alias("reason"))
 
 
-def _creative_columns() -> dict[str, tuple[str, Column]]:
-    supp = F.col("l_suppkey")
-    cb = (
-        F.when(supp % 20 == 3, 1).when((supp % 20 == 7) & (F.col("l_linenumber") != 1), 1)
-        .otherwise(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int"))
-    )
+def _creative_columns() -> dict[str, Column]:
+    supp, cb, impressions = F.col("l_suppkey"), F.col("_cb"), F.col("_impr")
     text = cb.cast("string")
     suffix = _pick(cb % 6, {0: "300x250", 1: "1080x1080", 2: "728x90", 3: "v2.mp4",
                             4: "hero.jpg", 5: "spring"})
@@ -289,7 +306,6 @@ def _creative_columns() -> dict[str, tuple[str, Column]]:
         .when(cb % 7 == 5, F.concat(base, F.lit("p"), (supp % 2).cast("string")))
         .otherwise(base)
     )
-    impressions = _long("l_quantity") * 1000
     day = F.col("l_shipdate").cast("date")
     ppm = (
         F.when(cb == 2, 0).when(cb == 5, 30000)
@@ -299,51 +315,51 @@ def _creative_columns() -> dict[str, tuple[str, Column]]:
         F.lit(None).cast("string"))
     kind = _pick(cb % 4, {0: "video", 1: " banner ", 2: "-"}, "native")
     return {
-        "date": ("", day),
-        "business_unit": ("s", F.when(supp % 11 == 0, "").otherwise(
+        "date": (day),
+        "business_unit": (F.when(supp % 11 == 0, "").otherwise(
             F.concat(F.lit("BU-"), (F.col("s_nationkey") % 5).cast("string")))),
-        "client": ("sn", F.col("n_name")),
-        "product": ("", product),
-        "strategy_type": ("", F.col("l_returnflag")),
-        "strategy_name": ("", F.concat("l_returnflag", F.lit("/"), "l_linestatus")),
-        "campaign": ("", F.concat(F.lit("Pool "), supp.cast("string"))),
-        "campaign_id": ("", supp.cast("string")),
-        "campaign_pool_id": ("", F.concat(F.lit("P"), supp.cast("string"))),
-        "creative_id": ("p", F.when(cb == 6, "").otherwise(
+        "client": (F.col("n_name")),
+        "product": (product),
+        "strategy_type": (F.col("l_returnflag")),
+        "strategy_name": (F.concat("l_returnflag", F.lit("/"), "l_linestatus")),
+        "campaign": (F.concat(F.lit("Pool "), supp.cast("string"))),
+        "campaign_id": (supp.cast("string")),
+        "campaign_pool_id": (F.concat(F.lit("P"), supp.cast("string"))),
+        "creative_id": (F.when(cb == 6, "").otherwise(
             F.when(cb == 10, "9").otherwise(text))),
-        "creative": ("p", name),
-        "creative_size": ("p", size),
-        "creative_type": ("p", kind),
-        "click_url": ("p", url),
-        "preview_url": ("p", F.when(cb % 9 == 0, F.lit(None).cast("string")).otherwise(
+        "creative": (name),
+        "creative_size": (size),
+        "creative_type": (kind),
+        "click_url": (url),
+        "preview_url": (F.when(cb % 9 == 0, F.lit(None).cast("string")).otherwise(
             F.concat(F.lit("https://img.example.com/"), text, F.lit(".png")))),
-        "impressions": ("", impressions),
-        "clicks": ("p", F.when((cb == 12) & (F.col("l_quantity") == 1), impressions + 1).otherwise(
+        "impressions": (impressions),
+        "clicks": (F.when((cb == 12) & (F.col("l_quantity") == 1), impressions + 1).otherwise(
             _div(impressions * ppm, 1000000))),
-        "conversions": ("p", F.when(
+        "conversions": (F.when(
             (F.col("l_returnflag") == "R") & (cb != 11), 1).otherwise(0).cast("bigint")),
-        "spend": ("p", F.when(cb == 13, F.lit(0)).otherwise(F.col("l_extendedprice"))
+        "spend": (F.when(cb == 13, F.lit(0)).otherwise(F.col("l_extendedprice"))
                   .cast("decimal(18,2)")),
-        "q25": ("", _div(impressions * 70, 100)),
-        "q50": ("", _div(impressions * 60, 100)),
-        "q75": ("", _div(impressions * 50, 100)),
-        "q100": ("p", _div(impressions * F.when(cb % 2 == 0, 40).otherwise(60), 100)),
+        "q25": (_div(impressions * 70, 100)),
+        "q50": (_div(impressions * 60, 100)),
+        "q75": (_div(impressions * 50, 100)),
+        "q100": (_div(impressions * F.when(cb % 2 == 0, 40).otherwise(60), 100)),
     }
 
 
-def creative(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+def creative(spark: SparkSession, sf: str) -> DataFrame:
     """Creative delivery at line grain."""
-    defined = _creative_columns()
-    columns = columns or tuple(defined)
-    need = {t for c in columns for t in defined[c][0]}
-    df = table(spark, sf, "lineitem")
-    if "p" in need:
-        df = df.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    if "s" in need:
-        df = df.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    if "n" in need:
-        df = df.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return df.select(*[defined[c][1].alias(c) for c in columns])
+    supp = F.col("l_suppkey")
+    df = lines(
+        spark, sf, "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_returnflag", "l_linestatus", "l_shipdate")
+    df = df.join(_part_names(table(spark, sf, "part")), F.col("l_partkey") == F.col("p_partkey"))
+    df = df.join(table(spark, sf, "supplier"), supp == F.col("s_suppkey"))
+    df = df.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    one = (supp % 20 == 3) | ((supp % 20 == 7) & (F.col("l_linenumber") != 1))
+    df = df.withColumns(
+        {"_cb": F.when(one, 1).otherwise(F.col("_brand")), "_impr": _long("l_quantity") * 1000})
+    return df.select(*[c.alias(name) for name, c in _creative_columns().items()])
 
 
 def manifest(spark: SparkSession, sf: str) -> DataFrame:

@@ -255,7 +255,7 @@ SELECT *, sites > 0 AND apps > 0 AS complete FROM (
     count(*) FILTER (WHERE kind = 'apps') AS apps, count(*) FILTER (WHERE kind = 'ttddv') AS ttddv,
     count(*) FILTER (WHERE kind = 'creatives') AS creatives FROM export_files GROUP BY file_date)""")
 def file_inventory(spark, sf):
-    return M.file_inventory(S.manifest(spark, sf))
+    return M.file_inventory(facts.manifest(spark, sf))
 
 
 @query("select_range_files", """
@@ -267,14 +267,14 @@ UNION ALL
 SELECT NULL, NULL, NULL, NULL, false, 'no site and app files in the window'
 WHERE (SELECT count(DISTINCT kind) FROM range_files WHERE kind IN ('sites', 'apps')) < 2""")
 def select_range_files(spark, sf):
-    return M.select_range_files(S.manifest(spark, sf), "2006-04-20", "2006-03-01")
+    return M.select_range_files(facts.manifest(spark, sf), "2006-04-20", "2006-03-01")
 
 
 @query("newest_file_per_kind", """
 SELECT kind, path, modified FROM (SELECT *, row_number() OVER (PARTITION BY kind
   ORDER BY modified DESC, path DESC) AS rn FROM export_files) WHERE rn = 1""")
 def newest_file_per_kind(spark, sf):
-    return M.newest_file_per_kind(S.manifest(spark, sf))
+    return M.newest_file_per_kind(facts.manifest(spark, sf))
 
 
 @query("blocklist_dim", """

@@ -21,16 +21,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written tables and checkpoints: the one the cluster names.
+    """Folder for written tables and checkpoints: the one the session names.
 
-    Only a session without `spark.checkpoint.dir` (a test on one machine) gets its own folder.
+    Only a session on one machine that names none (a test) gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="leakscope-")
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="leakscope-")
+    return _own[app]

@@ -1,6 +1,6 @@
 """Choosing export files from a manifest of (path, modified)."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions import constants as K
@@ -12,41 +12,26 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"))
 
 
-def _base(path: Column) -> Column:
-    return F.lower(F.substring_index(path, "/", -1))
-
-
-def file_kind(path: Column) -> Column:
-    """Kind of an export by its name and ending; null for files that are not exports.
+def export_files(manifest: DataFrame) -> DataFrame:
+    """The manifest's exports with their kind and date; other files are left out.
 
     Creative marks are looked for first and combined ones next, since their names may also hold
-    the site and app marks.
+    the site and app marks. The date is the one in the file's name, else the modification day.
     """
-    base = _base(path)
-    table = base.rlike(r"\.xlsx$") | base.rlike(r"\.csv$") | base.rlike(r"\.parquet$")
-    bare = F.regexp_replace(base, "[-_ ]", "")
-    return F.when(
-        table,
-        F.when(bare.contains(K.CREATIVE_FILE_MARK), "creatives")
+    base, bare = F.col("_base"), F.translate("_base", "-_ ", "")
+    kind = (
+        F.when(~(base.endswith(".csv") | base.endswith(".xlsx") | base.endswith(".parquet")), None)
+        .when(bare.contains(K.CREATIVE_FILE_MARK), "creatives")
         .when(base.contains(K.COMBINED_FILE_MARK), "ttddv")
         .when(base.contains(K.SITE_FILE_MARK), "sites")
-        .when(base.contains(K.APP_FILE_MARK), "apps"),
+        .when(base.contains(K.APP_FILE_MARK), "apps")
     )
-
-
-def file_date(path: Column, modified: Column) -> Column:
-    """Date in the file's name, else the day it was modified."""
-    base = F.substring_index(path, "/", -1)
-    y, m, d = (F.regexp_extract(base, K.FILE_DATE, i) for i in (1, 2, 3))
-    stated = F.when(F.length(y) > 0, F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd"))
-    return F.coalesce(stated, modified.cast("date"))
-
-
-def export_files(manifest: DataFrame) -> DataFrame:
-    """The manifest's exports with their kind and date."""
-    return manifest.select(
-        "path", "modified", file_kind(F.col("path")).alias("kind"),
-        file_date(F.col("path"), F.col("modified")).alias("file_date"),
+    digits = F.translate(F.regexp_extract("_base", K.FILE_DATE, 0), "-_", "")
+    stated = F.when(F.length("_stamp") == 8, F.try_to_date("_stamp", "yyyyMMdd"))
+    named = manifest.withColumn("_base", F.lower(F.substring_index("path", "/", -1)))
+    return named.withColumns({"kind": kind, "_stamp": digits}).select(
+        "path", "modified", "kind",
+        F.coalesce(stated, F.col("modified").cast("date")).alias("file_date"),
     ).filter(F.col("kind").isNotNull())
 
 
