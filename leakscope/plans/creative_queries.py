@@ -47,7 +47,7 @@ SELECT day AS date, CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE 'BU-' || CAST(s_na
   CASE WHEN cb = 12 AND l_quantity = 1 THEN impr + 1 ELSE impr * (CASE WHEN cb = 2 THEN 0
     WHEN cb = 5 THEN 30000 WHEN cb = 8 AND day > DATE '1998-06-04' THEN 500 ELSE 3000 END)
     // 1000000 END AS clicks,
-  CASE WHEN l_returnflag = 'R' AND cb <> 11 THEN 1 ELSE 0 END AS conversions,
+  CAST(CASE WHEN l_returnflag = 'R' AND cb <> 11 THEN 1 ELSE 0 END AS BIGINT) AS conversions,
   CAST(CASE WHEN cb = 13 THEN 0 ELSE l_extendedprice END AS DECIMAL(18, 2)) AS spend,
   impr * 70 // 100 AS q25, impr * 60 // 100 AS q50, impr * 50 // 100 AS q75,
   impr * (CASE WHEN cb % 2 = 0 THEN 40 ELSE 60 END) // 100 AS q100
@@ -347,7 +347,7 @@ UNION ALL
     for i, (count, text) in enumerate(_FINDINGS, 1)
 ) + """
 UNION ALL
-SELECT 'campaign', rn, impressions, concat_ws(' | ', client, product, campaign, campaign_id, coverage)
+SELECT 'campaign', CAST(rn AS INTEGER), impressions, concat_ws(' | ', client, product, campaign, campaign_id, coverage)
 FROM (SELECT *, row_number() OVER (ORDER BY impressions DESC, blank_rows DESC, client, product,
   campaign, campaign_id, creative_id) AS rn FROM blank_camps) WHERE rn <= 25
 """

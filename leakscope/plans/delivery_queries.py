@@ -232,7 +232,7 @@ simple("flagged_block_names", L.flagged_block_names,
 simple("leak_summary", L.leak_summary, f"""
 SELECT {O.money('spend')} AS leaked_spend, {O.n('impressions')} AS leaked_impressions,
   count(DISTINCT placement) AS leaked_placements, count(*) AS leaked_rows,
-  0 AS unresolved_placements, CAST(0 AS DOUBLE) AS unresolved_spend,
+  CAST(0 AS BIGINT) AS unresolved_placements, CAST(0 AS DOUBLE) AS unresolved_spend,
   (SELECT strftime(min(served_date), '%Y-%m-%d') FROM delivery) AS window_start,
   (SELECT strftime(max(served_date), '%Y-%m-%d') FROM delivery) AS window_end,
   (SELECT count(*) FROM (SELECT placement, placement_type FROM leak GROUP BY 1, 2

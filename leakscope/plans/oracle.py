@@ -107,8 +107,9 @@ SELECT CAST(l_shipdate AS DATE) AS served_date, customer_nation AS business_unit
   impr AS impressions,
   impr * (CASE WHEN l_suppkey % 10 = 0 THEN 40000 WHEN l_suppkey % 10 = 1 THEN 100
     WHEN p_type = 'LARGE' THEN 300 ELSE 3000 END) // 1000000 AS clicks,
-  CASE WHEN l_returnflag = 'R' AND l_suppkey % 10 <> 1 THEN l_linenumber ELSE 0 END AS conversions,
-  CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS view_throughs,
+  CAST(CASE WHEN l_returnflag = 'R' AND l_suppkey % 10 <> 1 THEN l_linenumber ELSE 0 END AS BIGINT)
+    AS conversions,
+  CAST(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS BIGINT) AS view_throughs,
   CAST(l_extendedprice AS DECIMAL(18, 2)) AS spend,
   CAST(l_extendedprice AS DECIMAL(18, 2)) AS internal_cost,
   l_returnflag = 'A' AND l_suppkey % 4 = 1 AS is_block,

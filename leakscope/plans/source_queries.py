@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from leakscope.operators import blocklist as B
+from leakscope.operators import creative_performance as P
+from leakscope.operators import creative_quality as Q
 from leakscope.operators import impact as I
 from leakscope.operators import leak as L
 from leakscope.operators import performance as V
@@ -259,7 +261,8 @@ def file_inventory(spark, sf):
 
 
 @query("select_range_files", """
-SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY newest DESC) AS position, path,
+SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY newest DESC) AS INTEGER)
+    AS position, path,
   file_date, (SELECT max(n) > 16 FROM range_files) AS capped, CAST(NULL AS VARCHAR) AS reason
 FROM range_files WHERE newest <= 16
   AND (SELECT count(DISTINCT kind) FROM range_files WHERE kind IN ('sites', 'apps')) = 2
@@ -391,9 +394,6 @@ UNION ALL SELECT 'blank_rows', least(count(*), 50000) FROM checked WHERE blank_c
 UNION ALL SELECT 'no_utm', least(count(*), 20000) FROM checked WHERE no_utm
 UNION ALL SELECT 'winners', count(*) FROM winners""")
 def creative_findings_export(spark, sf):
-    from leakscope.operators import creative_performance as P
-    from leakscope.operators import creative_quality as Q
-
     d = facts.creative(spark, sf)
     root = fresh_path(spark, "findings")
     none = Q.blank_campaigns_delivering(d, 10**15)
