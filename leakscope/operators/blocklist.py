@@ -2,8 +2,10 @@
 
 `blocklist` is one row per key (`sources.dimensions.blocklist_by_key`), so joining it never
 multiplies delivery rows; product scope and dates are column expressions on the joined row.
-Delivery is summed to the needed grain before the join. The join carries no broadcast hint: the
-planner broadcasts a list it knows to be small and shuffles (splitting skewed keys) otherwise.
+
+The join comes first: a list that people keep is small, Spark sees that from its size and
+broadcasts it, and only listed delivery, already summed in the map tasks, is shuffled. There is no
+broadcast hint, so a list that outgrows the threshold joins by shuffle with skewed keys split.
 """
 
 from functools import reduce
@@ -22,22 +24,15 @@ from leakscope.sources.dimensions import blocked_since
 POST = ["post_impr", "post_spend"]
 
 
-def on_blocklist(delivery: DataFrame, blocklist: DataFrame, grain: list[str]) -> DataFrame:
-    """Delivery on listed keys at key x product x day x grain, with its post-block part.
+def on_blocklist(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
+    """Delivery on listed keys with the day its product was blocked and its post-block part.
 
     Post-block means served strictly after the first day the product was blocked.
     """
-    keys = ["match_key", "product", "served_date", *grain]
-    rows = with_key(delivering(delivery)).withColumn(
-        "listed_name",
-        N.listed_name(F.col("placement_type"), F.col("placement"), F.col("app_id")),
-    ).withColumn("ttddv", N.is_combined_dsp(F.col("dsp")))
-    per = rows.groupBy(*dict.fromkeys(keys)).agg(*sums("impressions", "clicks", "spend"))
-    joined = per.join(blocklist, "match_key").withColumn(
-        "blocked_date", blocked_since(F.col("product"))
-    )
+    rows = with_key(delivering(delivery)).join(blocklist, "match_key")
+    rows = rows.withColumn("blocked_date", blocked_since(F.col("product")))
     after = F.col("served_date") > F.col("blocked_date")
-    return joined.withColumns(
+    return rows.withColumns(
         {
             "post_impr": F.when(after, F.col("impressions")).otherwise(F.lit(0)),
             "post_spend": F.when(after, F.col("spend")).otherwise(F.lit(0)),
@@ -47,7 +42,7 @@ def on_blocklist(delivery: DataFrame, blocklist: DataFrame, grain: list[str]) ->
 
 def blocklist_check(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
     """Totals per listed key, and what it delivered after it was blocked for the product."""
-    rows = on_blocklist(delivery, blocklist, ["placement_type", "listed_name"])
+    rows = on_blocklist(delivery, blocklist).withColumn("listed_name", _listed_name())
     g = rows.groupBy("match_key", "listed_name", "placement_type", "lists", "date_added").agg(
         *[F.coalesce(F.bool_or(F.col("product") == p), F.lit(False)).alias(_on(p))
           for p in K.PLACEMENT_PRODUCTS],
@@ -67,6 +62,10 @@ def blocklist_check(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
     )
 
 
+def _listed_name():
+    return N.listed_name(F.col("placement_type"), F.col("placement"), F.col("app_id"))
+
+
 def _on(product: str) -> str:
     return "_on_" + product.lower().replace(" ", "_")
 
@@ -79,9 +78,9 @@ def _listed_products():
 CLIENT_GRAIN = ["business_unit", "client", "strategy_name", "campaign_id"]
 
 
-def _client_rows(delivery: DataFrame, blocklist: DataFrame, grain: list[str]) -> DataFrame:
-    rows = on_blocklist(delivery, blocklist, [*CLIENT_GRAIN, *grain])
-    return rows.filter(~text_in(F.col("client"), K.BLANK_DIMENSIONS))
+def _client_rows(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
+    named = delivery.filter(~text_in(F.col("client"), K.BLANK_DIMENSIONS))
+    return on_blocklist(named, blocklist)
 
 
 def clients_on_blocked(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
@@ -90,14 +89,14 @@ def clients_on_blocked(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
     Summing per key first makes every distinct count a plain count. The placements themselves
     are the rows of `blocked_placements_by_client`, since a list per client has no size bound.
     """
-    rows = _client_rows(delivery, blocklist, ["placement_type", "ttddv"])
+    rows = _client_rows(delivery, blocklist)
     sentinel = F.col("blocked_date") <= F.lit("1971-01-01").cast("date")
     per_key = rows.groupBy(*CLIENT_GRAIN, "match_key").agg(
         *[F.coalesce(F.bool_or(F.col("product") == p), F.lit(False)).alias(_on(p))
           for p in K.PLACEMENT_PRODUCTS],
         F.bool_or(F.col("placement_type") == "site").alias("_site"),
         F.bool_or(F.col("placement_type") == "app").alias("_app"),
-        F.bool_or("ttddv").alias("ttddv"),
+        F.bool_or(N.is_combined_dsp(F.col("dsp"))).alias("ttddv"),
         F.min(F.when(~sentinel, F.col("blocked_date"))).alias("added"),
         F.max("served_date").alias("last"),
         *sums("impressions", "clicks", "spend", *POST),
@@ -121,20 +120,15 @@ def clients_on_blocked(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
 
 def blocked_placements_by_client(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
     """The listed placements of every row of `clients_on_blocked`, one row each, whole."""
-    keyed = with_key(delivering(delivery)).filter(
-        ~text_in(F.col("client"), K.BLANK_DIMENSIONS)
-    )
-    name = strip(N.listed_name(F.col("placement_type"), F.col("placement"), F.col("app_id")))
-    distinct = keyed.select(*CLIENT_GRAIN, "match_key", name.alias("site")).distinct()
-    listed = distinct.join(blocklist.select("match_key"), "match_key", "left_semi")
-    return listed.filter(F.col("site") != "").select(
+    rows = _client_rows(delivery, blocklist).withColumn("site", strip(_listed_name()))
+    return rows.filter(F.col("site") != "").select(
         *CLIENT_GRAIN[:3], F.col("campaign_id").alias("strategy_id"), "site"
     ).distinct()
 
 
 def blocklist_exposure_by_bu(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
     """Delivery per partner on keys that are blocked for the product it ran on."""
-    rows = on_blocklist(delivery, blocklist, ["business_unit"])
+    rows = on_blocklist(delivery, blocklist)
     exposed = rows.filter(
         F.col("blocked_date").isNotNull() & F.col("business_unit").isNotNull()
     )
@@ -145,7 +139,7 @@ def blocklist_exposure_by_bu(delivery: DataFrame, blocklist: DataFrame) -> DataF
 
 
 def blocklist_check_summary(delivery: DataFrame, blocklist: DataFrame) -> DataFrame:
-    rows = on_blocklist(delivery, blocklist, [])
+    rows = on_blocklist(delivery, blocklist)
     per_key = rows.groupBy("match_key").agg(*sums(*POST))
     leaking = F.col("post_impr") > 0
     return per_key.agg(
@@ -160,7 +154,7 @@ def audit_flags(delivery: DataFrame, blocklist: DataFrame, app_candidates: DataF
     has_id = app_candidates.agg(
         F.coalesce(F.bool_or(F.col("app_id") != F.col("name")), F.lit(False))
     ).scalar()
-    rows = _client_rows(delivery, blocklist, [])
+    rows = _client_rows(delivery, blocklist)
     no_id = rows.agg(
         F.coalesce(F.bool_and(text_in(F.col("campaign_id"), ["", "nan", "none"])), F.lit(True))
     ).scalar()

@@ -11,26 +11,30 @@ from leakscope.operators.norms import one_row_total, sums
 from leakscope.sources.dimensions import with_buyer
 
 
-def _marked(delivery: DataFrame, keys: DataFrame, grain: list[str], *measures: str) -> DataFrame:
-    """Delivery per key and grain, with a marker for recommended keys.
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows with a marker for recommended keys.
 
-    Summed to the grain before the join; totals and the blocked part then come out of one
-    conditional aggregate instead of two aggregates that are joined.
+    Totals and the recommended part then come out of one conditional aggregate instead of two
+    aggregates that are joined.
     """
-    per = with_key(delivering(delivery)).groupBy("match_key", *grain).agg(*sums(*measures))
     marks = keys.withColumn("_rec", F.lit(True))
-    return per.join(marks, "match_key", "left").withColumn(
+    return rows.join(marks, "match_key", "left").withColumn(
         "_rec", F.coalesce("_rec", F.lit(False))
     )
 
 
+def _marked_keys(delivery: DataFrame, keys: DataFrame, grain: list[str]) -> DataFrame:
+    """Delivery summed per key and grain, marked: one row per placement to count."""
+    per = with_key(delivering(delivery)).groupBy("match_key", *grain).agg(
+        *sums("impressions", "spend"))
+    return _marked(per, keys)
+
+
 def block_impact(delivery: DataFrame, keys: DataFrame, dim: str) -> DataFrame:
     """Total and recommended-blocked delivery per product or strategy type."""
     if dim == "product":
         delivery = delivery.filter(F.col("product").isin(*K.PLACEMENT_PRODUCTS))
-    rows = _marked(
-        delivery.filter(F.col(dim).isNotNull()), keys, [dim], "impressions", "spend"
-    )
+    rows = _marked_keys(delivery.filter(F.col(dim).isNotNull()), keys, [dim])
 
     def blocked(c):
         return F.coalesce(F.sum(F.when(F.col("_rec"), F.col(c))), F.lit(0))
@@ -52,8 +56,11 @@ def block_impact(delivery: DataFrame, keys: DataFrame, dim: str) -> DataFrame:
 
 
 def ctr_after_recs(delivery: DataFrame, keys: DataFrame, grain: list[str]) -> DataFrame:
-    """Click rate per grain without the recommended placements, and their share."""
-    rows = _marked(delivery.dropna(subset=grain), keys, grain, "impressions", "clicks")
+    """Click rate per grain without the recommended placements, and their share.
+
+    Nothing is counted here, so rows are marked as they are scanned and summed in the map tasks.
+    """
+    rows = _marked(with_key(delivering(delivery.dropna(subset=grain))), keys)
 
     def kept(c):
         return F.sum(F.when(F.col("_rec"), F.lit(0)).otherwise(F.col(c)))
@@ -115,7 +122,7 @@ def top_cards(fact: DataFrame, delivery: DataFrame, recs: DataFrame, keys: DataF
     """One row for the head of a report: window, totals and the recommended part."""
     valid = delivery.filter(F.col("product").isin(*K.PLACEMENT_PRODUCTS))
     placed = one_row_total(
-        _marked(valid, keys, [], "impressions", "spend"),
+        _marked_keys(valid, keys, []),
         n=F.count("match_key"),
         impr=F.coalesce(F.sum(F.when(F.col("_rec"), F.col("impressions"))), F.lit(0)),
         spend=F.coalesce(F.sum(F.when(F.col("_rec"), F.col("spend"))), F.lit(0)).cast("double"),

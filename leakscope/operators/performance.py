@@ -155,14 +155,18 @@ def insights_summary(fact: DataFrame, zero_conv_min_spend: float = 300.0, **flag
         zero_spend=F.coalesce(F.sum(F.when(waste, F.col("internal_cost"))), F.lit(0.0)),
     )
     spot = F.col("product") == "Social Mirror"
+    seen = F.count_if(spot) > 0
+
+    def part(c):
+        return F.sum(F.when(spot, F.col(c)))
+
     flag_count = strategy_ctr_flags(fact, **flags).agg(F.count("*")).scalar()
     return fact.agg(
         total("impressions", "total_impressions"), total("clicks", "total_clicks"),
         money(total(F.col("internal_cost"))).alias("total_cost"),
-        ratio(F.sum(F.when(spot, F.col("internal_cost"))), F.sum("internal_cost"), None)
+        F.when(seen, ratio(part("internal_cost"), F.sum("internal_cost")))
         .alias("social_mirror_pct_spend"),
-        ratio(F.sum(F.when(spot, F.col("conversions"))), F.sum(F.when(spot, F.col("clicks"))), None)
-        .alias("social_mirror_conv_rate"),
+        F.when(seen, ratio(part("conversions"), part("clicks"))).alias("social_mirror_conv_rate"),
         ctr(F.sum("clicks"), F.sum("impressions")).alias("book_ctr"),
     ).select(
         "*", per_unit["n"].alias("business_units"), per_unit["zero"].alias("zero_conv_bu_count"),

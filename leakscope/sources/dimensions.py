@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.functions import constants as K
-from leakscope.functions.text import fold, strip
+from leakscope.functions.text import fold, strip, text_in
 from leakscope.sources.headers import find_exact_or_part
 
 
@@ -26,7 +26,10 @@ def block_date(text: Column) -> Column:
 
 
 def blocklist_rows(tabs: dict[str, DataFrame], value_at: int = 1, date_at: int = 4) -> DataFrame:
-    """Positional tab frames -> (value, tab, date_added) rows, header rows left out."""
+    """Positional tab frames -> (value, tab, date_added) rows.
+
+    A header row is one whose value or date cell is a header word; a tab without one loses nothing.
+    """
     parts = []
     for tab, df in tabs.items():
         cols = df.columns
@@ -35,16 +38,16 @@ def blocklist_rows(tabs: dict[str, DataFrame], value_at: int = 1, date_at: int =
         date = F.col(f"`{cols[date_at]}`") if len(cols) > date_at else F.lit(None)
         parts.append(
             df.select(
-                strip(F.col(f"`{cols[value_at]}`")).alias("value"),
-                F.lit(tab).alias("tab"),
-                block_date(date.cast("string")).alias("date_added"),
+                strip(F.col(f"`{cols[value_at]}`")).alias("value"), F.lit(tab).alias("tab"),
+                date.cast("string").alias("_date"),
             )
         )
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    return rows.filter(
-        (F.coalesce(F.col("value"), F.lit("")) != "")
-        & ~F.lower("value").isin(*K.BLOCKLIST_HEADER_WORDS)
+    words = K.BLOCKLIST_HEADER_WORDS
+    body = rows.filter(
+        ~text_in(F.col("value"), ["", *words]) & ~text_in(F.col("_date"), words)
     )
+    return body.select("value", "tab", block_date(F.col("_date")).alias("date_added"))
 
 
 def read_blocklist(spark: SparkSession, tab_paths: dict[str, str], **positions) -> DataFrame:

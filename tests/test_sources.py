@@ -146,6 +146,7 @@ def test_blocklist(spark):
     dim = D.blocklist_dim(D.blocklist_rows({
         "CTV": tab([("Name", "Domain or App", "Type", "", "Date added"),
                     ("x", "A.com ", "", "", "2026-01-05"), ("x", "a.com", "", "", "2026-01-02")]),
+        "Social Mirror": tab([("Domain or App", "Bundle", "", "", "Date added")]),
         "Audio": tab([("first", "kept.com", "", "", ""), ("x", "", "", "", "")]),
     }))
     assert rows(dim.select("match_key", "tab", "date_added")) == [
