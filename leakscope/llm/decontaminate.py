@@ -5,8 +5,9 @@ items and of documents are hashed under each mask and joined. Each hit is verifi
 around it: the best-scoring stretch along the hit's diagonal (a match counts 1, a substitution
 -2) must hold enough matches at a high enough rate.
 
-One scan of the documents does all of it: the seeds of the benchmark, whose size is checked, are
-broadcast, so windows of documents are neither written nor shuffled; only verified hits are.
+The seeds of the benchmark, whose size is checked, are broadcast, so windows of documents are
+neither written nor shuffled. Only hits are; the documents that have some are read a second time to
+cut out the words around them.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,8 @@ REACH = 24
 MATCHES = 10
 RATE = 0.75
 
-# Seeds (24 bytes each) and items up to which the benchmark side is broadcast.
+# Seeds (24 bytes each) up to which the benchmark side is broadcast.
 BROADCAST_SEEDS = 2_000_000
-BROADCAST_ITEMS = 20_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -47,6 +47,12 @@ def _windows(df: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def _hashed(texts: DataFrame) -> DataFrame:
+    """doc_id, doc_key (of id and words) and word hashes `h`."""
+    return texts.select("doc_id", word_hashes(F.col("text")).alias("h")).select(
+        "doc_id", F.xxhash64("doc_id", "h").alias("doc_key"), "h")
+
+
 def _best_stretch(equal: Column) -> Column:
     """Start, length and matches of the best stretch of an array of booleans."""
     zero = F.struct(*[F.lit(0).alias(c) for c in
@@ -95,25 +101,33 @@ def leaks(docs: DataFrame, items: DataFrame, matches: int = MATCHES,
             F.count_distinct("item_key").alias("n_items"))
         .select("seed", "n_items", F.col("first.item_key").alias("item_key"),
                 F.col("first.at").alias("item_at")), "seeds")
-    hashed = docs.select(F.col("doc_id"), word_hashes(F.col("text").cast("string")).alias("h"))
-    hits = (
-        _windows(hashed, "doc_id")
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    # Hits of one alignment within a span stand for one another.
+    hits = written(
+        _windows(_hashed(texts), "doc_id", "doc_key")
         .join(broadcast_if_small(seeds, BROADCAST_SEEDS), "seed")
-        .join(broadcast_if_small(held.select("item_id", "item_key", F.col("h").alias("g")),
-                                 BROADCAST_ITEMS), "item_key")
-    )
-    before = F.least(F.col("at"), F.col("item_at"), F.lit(REACH))
-    after = F.least(F.size("h") - F.col("at") - SPAN, F.size("g") - F.col("item_at") - SPAN,
-                    F.lit(REACH))
-    aligned = hits.select(
-        "doc_id", "item_id", "n_items", (F.col("at") - before).alias("from"),
-        F.slice("h", F.col("at") - before + 1, before + SPAN + after).alias("x"),
-        F.slice("g", F.col("item_at") - before + 1, before + SPAN + after).alias("y"))
-    best = aligned.select(
+        .groupBy("doc_id", "doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"),
+                 F.floor(F.col("item_at") / SPAN).alias("part"))
+        .agg(F.min("item_at").alias("item_at"), F.max("n_items").alias("n_items")), "hits")
+    leaked = hits.select(F.col("doc_id").alias("hit_id")).distinct()
+    read_again = _hashed(texts.join(
+        broadcast_if_small(leaked), F.col("doc_id").eqNullSafe(F.col("hit_id")), "leftsemi"))
+    at = F.col("item_at") + F.col("shift")
+    before = F.least(at, F.col("item_at"), F.lit(REACH))
+    after = F.least(F.size("h") - at - SPAN, F.size("g") - F.col("item_at") - SPAN, F.lit(REACH))
+    # Written, so that only the words around hits are carried on, not whole documents.
+    aligned = written(
+        read_again.drop("doc_id").join(hits, "doc_key")
+        .join(held.select("item_id", "item_key", F.col("h").alias("g")), "item_key")
+        .select(
+            "doc_id", "item_id", "n_items", (at - before).alias("from"),
+            F.slice("h", at - before + 1, before + SPAN + after).alias("x"),
+            F.slice("g", F.col("item_at") - before + 1, before + SPAN + after).alias("y")),
+        "aligned")
+    found = aligned.select(
         "doc_id", "item_id", "n_items", "from",
-        _best_stretch(F.zip_with("x", "y", lambda a, b: a == b)).alias("s"))
-    found = best.where(
-        (F.col("s.matches") >= matches) & (F.col("s.matches") >= rate * F.col("s.length")))
+        _best_stretch(F.zip_with("x", "y", lambda a, b: a == b)).alias("s"),
+    ).where((F.col("s.matches") >= matches) & (F.col("s.matches") >= rate * F.col("s.length")))
     return found.groupBy("doc_id", "item_id").agg(
         F.max(F.struct(
             F.col("s.matches").alias("n_matches"), (-F.col("s.length")).alias("short"),

@@ -99,10 +99,11 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 # All pairs of vectors of a label, which small tables allow.
 OP10_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND CASE WHEN len(embedding) = 0 OR list_count(embedding) < len(embedding) THEN false
+             ELSE isfinite(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))
+               AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0 END
 ), p AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
   ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)

@@ -178,7 +178,6 @@ def test_leaks_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert decontaminate.leaks(no_docs, items).count() == 0
     assert decontaminate.leaks(odd_docs, items.limit(0)).count() == 0
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 1)
-    monkeypatch.setattr(decontaminate, "BROADCAST_ITEMS", 1)
     again = decontaminate.leaks(odd_docs, items).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
 

@@ -98,7 +98,9 @@ def test_pack_odd_rows(odd_docs, no_docs):
 
 def test_best_fit_fills_the_least_room():
     bins, offsets, used = pack_tree.best_fit([5, 9, 1, 4, 8, 2], 10)
-    assert used == [10, 10, 9] and bins == [2, 0, 0, 2, 1, 1] and offsets[2] == 9
+    # 9; 8 and 2; 5 and 4, and 1 in one of the two places left
+    assert sorted(used) == [9, 10, 10]
+    assert bins[0] == bins[3] != bins[1] and bins[4] == bins[5] and offsets[2] == 9
 
 
 @pytest.mark.parametrize("seed", range(4))
