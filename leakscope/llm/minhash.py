@@ -7,10 +7,11 @@ agree in a bin with the probability of their similarity, whatever their sizes. B
 buckets. Within a bucket each document is paired with the bucket's centre only, never with all
 others, and each pair is confirmed on the full sets.
 
-Links between two documents of a bucket that are both unlike its centre are found afterwards: a
-bucket whose documents are not yet all in one component is gone through again, by new centres
-while the open pairs are many, and by its remaining cross-component pairs of fitting sizes at the
-end. So each pair that shares a bucket is either in one component or has been compared.
+Links between two documents of a bucket that are both unlike its centre are found afterwards, in
+those buckets whose documents are not yet all in one component. They are cut into blocks of bounded
+size that tasks compare two by two on the full sets; only links between components leave a
+comparison, at most one for each component in it, never the pairs. So each pair that shares a
+bucket is either in one component or has been compared.
 """
 
 import hashlib
@@ -28,9 +29,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 48, 5
 
-# Open pairs for each document above which another round of centres comes before the last step.
-OPEN_PAIRS = 4
-CENTRE_ROUNDS = 6
+# Documents of a block; the documents of two blocks are compared in one task.
+BLOCK = 128
 
 # Bytes of text hashed at once in a task.
 CHUNK = 4 << 20
@@ -139,12 +139,119 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * both >= percent * (F.size("x") + F.size("y") - both)).select("lo", "hi")
 
 
-def _ordered(a, n, b, m):
-    return [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), n.alias("n"), m.alias("m")]
+def _to_centres(members: DataFrame, centres: tuple, percent: int):
+    """Pairs (lo, hi) of each bucket's documents and its centres, where sizes fit."""
+    pairs = []
+    for c in centres:
+        other = F.col(f"{c}.id")
+        fits = (F.col("id") != other) & _sized(F.col("n"), F.col(f"{c}.n"), percent)
+        pairs.append(members.where(fits).select(
+            F.least("id", other).alias("lo"), F.greatest("id", other).alias("hi")))
+    return pairs[0].union(pairs[1])
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of buckets that hold more than one component, with their component `label`."""
+    labelled = members.join(found, F.col("id") == F.col("node"), "left").select(
+        "key", "id", F.coalesce("component", "id").alias("label"))
+    keys = labelled.groupBy("key").agg(
+        F.min("label").alias("least"), F.max("label").alias("most")
+    ).where("least != most").select("key")
+    return labelled.join(broadcast_if_small(keys), "key", "leftsemi")
+
+
+def _dealt(opened: DataFrame, block: int) -> DataFrame:
+    """Each open document in the pairs of blocks (bi, bj) in which it has to be compared.
+
+    The documents of a bucket's largest component need no comparison with each other: they are in
+    blocks of their own, behind those of the other documents, and meet only the latter.
+    """
+    labels = opened.groupBy("key", "label").agg(F.count("*").alias("c"))
+    buckets = labels.groupBy("key").agg(
+        F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")
+    ).select(
+        "key", F.col("top.label").alias("main"),
+        F.ceil((F.col("all") - F.col("top.c")) / block).alias("others"),
+        F.ceil(F.col("top.c") / block).alias("mains"))
+    main = F.col("label") == F.col("main")
+    place = F.xxhash64("id")
+    return (
+        opened.join(buckets, "key")
+        .withColumn("block", F.when(main, F.col("others") + F.pmod(place, F.col("mains")))
+                    .otherwise(F.pmod(place, F.col("others"))))
+        .withColumn("other", F.explode(F.sequence(
+            F.lit(0).cast("long"),
+            F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+        .select("key", "id", "label", "block", F.least("block", "other").alias("bi"),
+                F.greatest("block", "other").alias("bj"))
+    )
+
+
+def _joined_labels(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Components that links between two blocks join: rows are (block, label, shingles).
+
+    The first block's documents are compared in turn with all of the second, or with those behind
+    them in their own.
+    """
+    first = [r for r in rows if r[0] == rows[0][0]]
+    second = rows[len(first) :] or first
+    number = np.unique(np.concatenate([r[2] for r in second]), return_inverse=True)
+    known, flat = number[0], number[1].reshape(-1)
+    sizes = np.array([len(r[2]) for r in second])
+    starts = np.cumsum(sizes) - sizes
+    labels = np.array([r[1] for r in second])
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, (_, label, own) in enumerate(first):
+        at = np.searchsorted(known, own)
+        at[at == len(known)] = 0
+        held = np.zeros(len(known), np.int64)
+        held[at[known[at] == own]] = 1
+        both = np.add.reduceat(held[flat], starts)
+        linked = 100 * both >= percent * (len(own) + sizes - both)
+        linked &= labels != label
+        if second is first:
+            linked[: i + 1] = False
+        for other in np.unique(labels[linked]).tolist():
+            a, b = find(label), find(other)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((label, other))
+    return out
+
+
+def _joiner(percent: int):
+    def run(batches):
+        key, rows = None, []
+
+        def done():
+            found = _joined_labels(rows, percent) if len(rows) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            blocks, labels = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for n, k in enumerate(keys):
+                if k != key:
+                    yield from done()
+                    key, rows = k, []
+                shingles = batch.column(5)[n].values.to_numpy(zero_copy_only=False)
+                rows.append((blocks[n], labels[n], shingles))
+        yield from done()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, set_key, component_id: one row for each row of `docs`.
 
     component_id is the smallest doc_id reachable by links, the document itself included; two
@@ -160,69 +267,31 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     signed = written(signatures(docs, words, bands, rows), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    buckets = written(
+    singles = written(
         full.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"])
-        .select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"),
-                F.col("n_shingles").alias("n")),
-        "buckets")
+        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "singles")
+    buckets = singles.select(F.explode("bands").alias("key"), "id", "n")
     # Only buckets with two documents or more matter from here on.
+    several = written(
+        buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    members = written(buckets.join(broadcast_if_small(several), "key"), "members")
     node = F.struct("id", "n")
-    ends = buckets.groupBy("key").agg(F.min(node).alias("a"), F.max(node).alias("z")).where(
-        "a.id != z.id")
-    shared = written(buckets.join(ends, "key"), "shared-buckets")
-
-    def to(centre):
-        c, m = F.col(f"{centre}.id"), F.col(f"{centre}.n")
-        return shared.where((F.col("id") != c) & _sized(F.col("n"), m, percent)).select(
-            F.least("id", c).alias("lo"), F.greatest("id", c).alias("hi"))
-
-    tried = written(to("a").union(to("z")).distinct(), "pairs")
-    members = shared.select("key", "id", "n")
-    ids = shared.select("id").distinct()
+    ends = members.groupBy("key").agg(F.min(node).alias("a"), F.max(node).alias("z"))
+    tried = written(
+        _to_centres(members.join(ends, "key"), ("a", "z"), percent).distinct(), "pairs")
+    ids = written(members.select("id").distinct(), "ids")
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(
-        broadcast_if_small(written(ids, "ids").withColumnRenamed("id", "doc_id")),
-        "doc_id", "leftsemi")
+        broadcast_if_small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "leftsemi")
     sets = written(mapped(wanted, _setter(words), "id long, shingles array<long>"), "sets")
     edges = written(_confirmed(tried, sets, percent), "edges")
     found = written(components(edges.toDF("u", "v")), "found")
-    for turn in range(CENTRE_ROUNDS + 1):
-        labelled = members.join(found, F.col("id") == F.col("node"), "left").select(
-            "key", "id", "n", F.coalesce("component", "id").alias("label"))
-        still = labelled.groupBy("key").agg(
-            F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
-        opened = written(labelled.join(still.select("key"), "key", "leftsemi"), "open")
-        by = opened.groupBy("key", "label").agg(F.count("*").cast("decimal(38,0)").alias("c"))
-        open_pairs = by.groupBy("key").agg(
-            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(
-            F.sum("p")).first()[0]
-        if not open_pairs:
-            break
-        last = turn == CENTRE_ROUNDS or open_pairs <= OPEN_PAIRS * signed.count()
-        if last:
-            other = opened.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"),
-                                  F.col("label").alias("label2"))
-            pairs = opened.join(other, "key").where(
-                (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2"))
-                & _sized(F.col("n"), F.col("n2"), percent)
-            ).select(F.col("id").alias("lo"), F.col("id2").alias("hi"))
-        else:
-            draw = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label")
-            centres = opened.groupBy("key").agg(F.min(draw).alias("p"), F.max(draw).alias("q"))
-            pairs = None
-            for c in ("p", "q"):
-                part = opened.join(centres, "key").where(
-                    (F.col("label") != F.col(f"{c}.label"))
-                    & _sized(F.col("n"), F.col(f"{c}.n"), percent)
-                ).select(F.least("id", F.col(f"{c}.id")).alias("lo"),
-                         F.greatest("id", F.col(f"{c}.id")).alias("hi"))
-                pairs = part if pairs is None else pairs.union(part)
-        new = written(pairs.distinct().join(tried, ["lo", "hi"], "leftanti"), "pairs")
-        more = written(_confirmed(new, sets, percent), "edges")
-        tried, edges = tried.union(new), edges.union(more)
-        if more.limit(1).count():
-            found = written(components(edges.toDF("u", "v")), "found")
-        if last:
-            break
+    opened = written(_open(members, found), "open")
+    more = written(mapped(
+        _dealt(opened, block).join(sets, "id")
+        .select("key", "bi", "bj", "block", "label", "shingles")
+        .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block"),
+        _joiner(percent), "u long, v long"), "joined")
+    found = components(edges.toDF("u", "v").union(more))
     grouped = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("of_set"))
     per_row = signed.join(

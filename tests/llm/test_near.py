@@ -47,15 +47,28 @@ def test_minhash_chains_and_borders(spark):
     assert got == expected(rows)[0]
 
 
-def test_minhash_without_last_step_of_pairs(spark, monkeypatch):
-    """Rounds of new centres and the last step give the same classes."""
-    rows = chain(60, step=3)
+@pytest.mark.parametrize("block", [2, 7])
+def test_minhash_small_blocks(spark, block):
+    """Buckets larger than a block give the same classes."""
+    rows = chain(60, step=3) + [(500 + i, " ".join(f"c{k}" for k in range(60)) + f" e{i}")
+                                for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(minhash, "OPEN_PAIRS", 0)
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    got = {r["doc_id"]: r["component_id"]
+           for r in minhash.near_duplicates(df, block=block).collect()}
     assert got == expected(rows)[0]
 
 
+def test_joined_labels():
+    def row(block, label, values):
+        return block, label, np.array(values)
+
+    a, b, c = [1, 2, 3, 4], [1, 2, 3, 4, 5], [7, 8, 9]
+    assert minhash._joined_labels([row(0, 1, a), row(0, 2, b), row(0, 3, c), row(0, 2, b)], 75) == [
+        (1, 2)]
+    assert minhash._joined_labels([row(0, 5, a), row(1, 2, c), row(1, 3, b)], 75) == [(5, 3)]
+    assert minhash._joined_labels([row(0, 5, c), row(1, 2, a), row(1, 3, b)], 75) == []
+
+
 def test_minhash_odd_rows(spark, odd_docs, no_docs):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"])
                  for r in minhash.near_duplicates(odd_docs).collect())
