@@ -1,6 +1,6 @@
 """The alert a creative feed raises, as rows: headline, findings and affected campaigns."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.text import grouped
@@ -28,9 +28,9 @@ def _counted(count: Column, tail: str) -> Column:
 
 
 def creative_alert_rows(
-    creative: DataFrame, min_impressions: int = 1, campaigns: int = 25
+    creative: DataFrame, min_impressions: int = 1
 ) -> DataFrame:
-    """Rows of the alert; none when there is neither a blank name nor a critical finding."""
+    """Rows of the alert, with all affected campaigns (without a position: sinks order them); none when there is neither a blank name nor a critical finding."""
     summary = creative_summary(creative, min_impressions)
     perf = one_row_total(
         P.performance_counts(creative),
@@ -90,14 +90,8 @@ def creative_alert_rows(
         "_e.section", "position", "_e.count", "_e.text"
     ).filter((F.col("section") == "headline") | (F.col("count") > 0))
     ids = ["client", "product", "campaign", "campaign_id", "coverage"]
-    # ORDER BY ... LIMIT first, so the numbering window sees at most `campaigns` rows.
-    order = [F.desc("impressions"), F.desc("blank_rows"), "client", "product", "campaign",
-             "campaign_id", "creative_id"]
-    order = [c for c in order if not isinstance(c, str) or c in creative.columns]
-    largest = blank_campaigns(creative).orderBy(*order).limit(campaigns)
-    affected = largest.select(
-        F.lit("campaign").alias("section"),
-        F.row_number().over(Window.orderBy(*order)).alias("position"),
+    affected = blank_campaigns(creative).select(
+        F.lit("campaign").alias("section"), F.lit(None).cast("int").alias("position"),
         F.col("impressions").alias("count"),
         F.concat_ws(" | ", *[F.col(c) for c in ids]).alias("text"),
     )

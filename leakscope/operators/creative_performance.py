@@ -42,13 +42,12 @@ def creative_roster(creative: DataFrame) -> DataFrame:
     )
 
 
-def product_norms(creative: DataFrame, n: int = 12) -> DataFrame:
-    """Pooled rates of the products with the most impressions, leaked product values left out."""
+def product_norms(creative: DataFrame) -> DataFrame:
+    """Pooled rates of the known products, leaked product values left out."""
     known = named(creative).filter(text_in(F.col("product"), K.CREATIVE_PRODUCTS))
-    g = known.groupBy("product").agg(
+    return known.groupBy("product").agg(
         ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"), total("impressions")
     )
-    return g.orderBy(F.desc("impressions"), "product").limit(n)
 
 
 def rated_roster(creative: DataFrame) -> DataFrame:
@@ -170,9 +169,9 @@ def duplicate_names(creative: DataFrame) -> DataFrame:
     return g.filter(F.col("clients") > 1)
 
 
-def top_creatives(creative: DataFrame, n: int = 100) -> DataFrame:
-    roster = creative_roster(creative)
-    return roster.orderBy(F.desc("impressions"), *present(roster, ROSTER_KEYS)).limit(n)
+def top_creatives(creative: DataFrame) -> DataFrame:
+    """The whole roster; a sink orders it by impressions."""
+    return creative_roster(creative)
 
 
 def performance_counts(creative: DataFrame, min_impr: int = 10000, noclick_impr: int = 5000,

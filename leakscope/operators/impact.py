@@ -144,10 +144,10 @@ def top_cards(fact: DataFrame, delivery: DataFrame, recs: DataFrame, keys: DataF
     )
 
 
-def top_placements_flagged(delivery: DataFrame, recs: DataFrame, n: int = 300) -> DataFrame:
-    """Top placements and whether their name is on the recommended list."""
+def top_placements_flagged(delivery: DataFrame, recs: DataFrame) -> DataFrame:
+    """Placements and whether their name is on the recommended list."""
     names = recs.select("name").distinct().withColumn("_hit", F.lit(True))
-    top = top_placements(delivery, n)
+    top = top_placements(delivery)
     return top.join(names, "name", "left").withColumn(
         "rec", F.coalesce("_hit", F.lit(False))
     ).drop("_hit")

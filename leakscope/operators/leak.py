@@ -13,7 +13,6 @@ from leakscope.functions.text import date_or, text_in
 from leakscope.operators.norms import sums
 
 ACTIVE_DAYS = 1
-EXPORT_ROW_CAP = 100_000
 LEAK_DIMENSIONS = ["business_unit", "client", "product", "strategy_type"]
 
 
@@ -105,7 +104,7 @@ def flagged_block_names(delivery: DataFrame) -> DataFrame:
 
 
 def leak_summary(delivery: DataFrame) -> DataFrame:
-    """One row of leak totals, unresolved delivery, the window and the export flags.
+    """One row of leak totals, unresolved delivery and the window.
 
     Everything is summed per placement first; the two distinct counts then run over groups.
     """
@@ -116,7 +115,7 @@ def leak_summary(delivery: DataFrame) -> DataFrame:
         return F.sum(F.when(cond, value))
 
     per = delivery.groupBy("placement", "placement_type").agg(
-        F.count("*").alias("rows"), F.count_if(leak).alias("leak_rows"),
+        F.count_if(leak).alias("leak_rows"),
         part(leak, F.col("impressions")).alias("leak_impr"),
         part(leak, F.col("spend")).alias("leak_spend"),
         F.max(F.when(leak, F.col("served_date"))).alias("leak_last"),
@@ -126,10 +125,6 @@ def leak_summary(delivery: DataFrame) -> DataFrame:
     active = F.datediff(window_end(delivery), F.col("leak_last")) <= ACTIVE_DAYS
     name = F.col("placement")
 
-    def rows_of(kind):
-        n = F.sum(F.when(F.col("placement_type") == kind, F.col("rows")))
-        return F.coalesce(n >= EXPORT_ROW_CAP, F.lit(False))
-
     return per.agg(
         money(total(F.col("leak_spend"))).alias("leaked_spend"),
         total("leak_impr", "leaked_impressions"),
@@ -142,16 +137,12 @@ def leak_summary(delivery: DataFrame) -> DataFrame:
         F.count_if(active).alias("active_placements"),
         money(F.coalesce(F.sum(F.when(active, F.col("leak_spend"))), F.lit(0)))
         .alias("active_spend"),
-        rows_of("site").alias("sites_truncated"), rows_of("app").alias("apps_truncated"),
         F.max("last").isNotNull().alias("has_dates"),
     )
 
 
-def top_placements(delivery: DataFrame, n: int | None = 300) -> DataFrame:
-    """Placements by impressions with serving status and share of all named delivery.
-
-    The share's denominator is the whole delivery, not the rows that survive the cut.
-    """
+def top_placements(delivery: DataFrame) -> DataFrame:
+    """All placements with serving status and share of all named delivery."""
     named = delivering(delivery).withColumn(
         "name",
         F.when(F.col("placement_type") == "app",
@@ -164,7 +155,7 @@ def top_placements(delivery: DataFrame, n: int | None = 300) -> DataFrame:
         F.max("served_date").alias("last"), F.bool_or("is_block").alias("blocked"),
     )
     days = F.datediff(window_end(delivery), F.col("last"))
-    rows = g.select(
+    return g.select(
         "name", "placement_type", "products", "impressions", "clicks", "conversions",
         money("spend").alias("spend"), "blocked", ctr().alias("ctr"), cpm().alias("cpm"),
         F.when(days <= ACTIVE_DAYS, "serving").when(days > ACTIVE_DAYS, "stopped").otherwise("—")
@@ -172,9 +163,6 @@ def top_placements(delivery: DataFrame, n: int | None = 300) -> DataFrame:
         date_or(F.col("last"), "—").alias("last_served"),
         ratio(F.col("impressions"), all_impressions).alias("pct_impr"),
     )
-    if n is None:
-        return rows
-    return rows.orderBy(F.desc("impressions"), "name", "placement_type").limit(n)
 
 
 def delivery_by_placement_product(delivery: DataFrame) -> DataFrame:

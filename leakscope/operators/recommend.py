@@ -13,26 +13,36 @@ from leakscope.operators.candidates import BLOCK_COLUMNS
 MERGED_COLUMNS = [c for c in BLOCK_COLUMNS if c != "conversions"]
 
 
-def review_queue(
-    candidates: dict[str, DataFrame], per_kind: int = 200, batch_size: int = 50
-) -> DataFrame:
-    """The largest candidates of each kind, numbered in batches.
+# Ranges of impressions that double this many times as finely are numbered on their own.
+STEPS_PER_DOUBLING = 256
 
-    Each kind is cut with ORDER BY ... LIMIT first, so the numbering window sees `per_kind` rows.
+
+def review_queue(candidates: dict[str, DataFrame], batch_size: int = 50) -> DataFrame:
+    """All candidates of each kind, numbered in batches from the largest down.
+
+    A candidate's number is its place in its range of impressions plus the rows of the ranges
+    above: ranges are numbered in parallel, and only their counts, of which there are at most
+    64 * `STEPS_PER_DOUBLING`, are summed up in order.
     """
     out = None
     for kind, df in candidates.items():
-        largest = df.orderBy(F.desc("impressions"), "app_id", "name").limit(per_kind)
-        rows = largest.withColumn("kind", F.lit(kind))
+        rows = df.withColumn("kind", F.lit(kind))
         out = rows if out is None else out.unionByName(rows)
-    w = Window.partitionBy("kind").orderBy(F.desc("impressions"), "app_id", "name")
-    at = F.row_number().over(w) - 1
-    return out.withColumns(
+    size = F.log2(F.greatest(F.col("impressions"), F.lit(0)) + F.lit(1.0))
+    out = out.withColumn("_range", F.floor(size * STEPS_PER_DOUBLING).cast("int"))
+    above = Window.partitionBy("kind").orderBy(F.desc("_range")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    counts = out.groupBy("kind", "_range").agg(F.count("*").alias("_n")).select(
+        "kind", "_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    within = Window.partitionBy("kind", "_range").orderBy(F.desc("impressions"), "app_id", "name")
+    at = F.col("_above") + F.row_number().over(within) - 1
+    numbered = out.join(counts, ["kind", "_range"]).withColumn("_at", at)
+    return numbered.withColumns(
         {
-            "batch": F.floor(at / batch_size).cast("int"),
-            "line": (at % batch_size + 1).cast("int"),
+            "batch": F.floor(F.col("_at") / batch_size).cast("int"),
+            "line": (F.col("_at") % batch_size + 1).cast("int"),
         }
-    )
+    ).drop("_at", "_above", "_range")
 
 
 def apply_verdicts(queue: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -50,21 +60,23 @@ def merge_blocks(frames: list[DataFrame]) -> DataFrame:
     """Union block lists in priority order and fold repeated placements into one row.
 
     The first list's row gives the metrics; categories are combined and the other reasons are
-    appended. A placement occurs at most once per list and verdict, so the array a group
-    collects is as short as the number of rules that caught it.
+    appended. A group keeps one row for each list (the first in order, should a list repeat a
+    placement), so its state has a fixed size.
     """
     union = None
     for priority, df in enumerate(frames):
         rows = df.select(F.lit(priority).alias("_p"), *MERGED_COLUMNS)
         union = rows if union is None else union.unionByName(rows)
     key = F.when(
-        F.coalesce(F.col("app_id"), F.lit("")).isin("", "nan", "None"), F.col("name")
+        text_in(F.col("app_id"), K.BLANK_NAMES), F.col("name")
     ).otherwise(F.col("app_id"))
     metrics = [c for c in MERGED_COLUMNS if c not in ("category", "reason")]
     row = F.struct(
         "_p", F.col("category"), F.col("reason"), F.struct(*metrics).alias("m")
     )
-    g = union.groupBy(key.alias("_key")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    per_list = [F.min(F.when(F.col("_p") == p, row)).alias(f"_r{p}") for p in range(len(frames))]
+    g = union.groupBy(key.alias("_key")).agg(*per_list).withColumn(
+        "_rows", F.array_compact(F.array(*[f"_r{p}" for p in range(len(frames))])))
     first = F.get("_rows", F.lit(0))
     more = F.slice("_rows", 2, F.size("_rows"))
     categories = F.array_distinct(
@@ -128,11 +140,9 @@ def recommended(sites: DataFrame, apps: DataFrame) -> DataFrame:
     )
 
 
-def recommended_by_flag(recs: DataFrame, flag: str, n: int = 100) -> DataFrame:
-    """Top rows by spend whose flag contains the given one."""
-    return recs.filter(F.col("flag").contains(flag)).orderBy(
-        F.desc("spend"), "kind", "app_id", "name"
-    ).limit(n)
+def recommended_by_flag(recs: DataFrame, flag: str) -> DataFrame:
+    """All rows whose flag contains the given one."""
+    return recs.filter(F.col("flag").contains(flag))
 
 
 def filter_clauses(recs: DataFrame) -> DataFrame:

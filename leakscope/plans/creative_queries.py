@@ -347,9 +347,8 @@ UNION ALL
     for i, (count, text) in enumerate(_FINDINGS, 1)
 ) + """
 UNION ALL
-SELECT 'campaign', CAST(rn AS INTEGER), impressions, concat_ws(' | ', client, product, campaign, campaign_id, coverage)
-FROM (SELECT *, row_number() OVER (ORDER BY impressions DESC, blank_rows DESC, client, product,
-  campaign, campaign_id, creative_id) AS rn FROM blank_camps) WHERE rn <= 25
+SELECT 'campaign', CAST(NULL AS INTEGER), impressions,
+  concat_ws(' | ', client, product, campaign, campaign_id, coverage) FROM blank_camps
 """
 
 QUERIES: dict = {}
@@ -390,8 +389,7 @@ add("creative_summary", Q.creative_summary, "SELECT * FROM feed_summary")
 add("creative_roster", P.creative_roster, "SELECT * FROM roster")
 add("product_norms", P.product_norms, f"""
 SELECT product, {O.ratio('sum(clicks)', 'sum(impressions)')} AS ctr, {O.sums('impressions')}
-FROM named_rows WHERE lower(product) IN {O.texts(K.CREATIVE_PRODUCTS)} GROUP BY product
-ORDER BY sum(impressions) DESC, product LIMIT 12""")
+FROM named_rows WHERE lower(product) IN {O.texts(K.CREATIVE_PRODUCTS)} GROUP BY product""")
 add("creative_winners", P.creative_winners, "SELECT * FROM winners")
 add("creative_laggards", P.creative_laggards, "SELECT * FROM laggards")
 add("creative_zero_click", P.creative_zero_click, "SELECT * FROM quiet")
@@ -402,7 +400,7 @@ SELECT *, {O.CTR} AS ctr FROM camps WHERE creatives = 1 AND impressions >= 10000
 add("dominant_creatives", P.dominant_creatives, "SELECT * FROM dominants")
 add("duplicate_names", P.duplicate_names, "SELECT * FROM dupes")
 add("top_creatives", P.top_creatives,
-    f"SELECT * FROM roster ORDER BY impressions DESC, {_ROSTER} LIMIT 100")
+    "SELECT * FROM roster")
 add("performance_counts", P.performance_counts, "SELECT * FROM perf_counts")
 add("utm_by_placement", U.utm_by_placement, "SELECT * FROM tagged_placements")
 add("utm_per_creative", U.utm_per_creative, "SELECT * FROM tagged_creatives")

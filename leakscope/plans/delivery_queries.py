@@ -50,9 +50,10 @@ def verdict_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def merged_sites(spark: SparkSession, sf: str) -> DataFrame:
     d = facts.delivery(spark, sf)
+    handled = C.handled_site_keys(d, key_blocklist(spark, sf))
     return R.merge_site_blocks(
         verdict_rows(spark, sf).filter("kind = 'site'"),
-        C.auto_high_ctr_site_blocks(d), C.auto_low_ctr_site_blocks(d),
+        C.auto_high_ctr_site_blocks(d, handled), C.auto_low_ctr_site_blocks(d, handled),
     )
 
 
@@ -239,8 +240,6 @@ SELECT {O.money('spend')} AS leaked_spend, {O.n('impressions')} AS leaked_impres
     HAVING max(served_date) >= (SELECT max(served_date) FROM delivery) - 1)) AS active_placements,
   (SELECT {O.money('s')} FROM (SELECT sum(spend) AS s FROM leak GROUP BY placement, placement_type
     HAVING max(served_date) >= (SELECT max(served_date) FROM delivery) - 1)) AS active_spend,
-  (SELECT count(*) >= 100000 FROM delivery WHERE placement_type = 'site') AS sites_truncated,
-  (SELECT count(*) >= 100000 FROM delivery WHERE placement_type = 'app') AS apps_truncated,
   true AS has_dates
 FROM leak""")
 simple("top_placements", L.top_placements, "SELECT * FROM top")
@@ -285,7 +284,7 @@ def auto_low(spark, sf):
 @query("auto_high_ctr_site_blocks", f"SELECT {_BLOCK} FROM auto_high")
 def auto_high(spark, sf):
     d = facts.delivery(spark, sf)
-    return C.auto_high_ctr_site_blocks(d, C.handled_site_keys(d))
+    return C.auto_high_ctr_site_blocks(d, C.handled_site_keys(d, key_blocklist(spark, sf)))
 
 
 # block list
@@ -407,8 +406,7 @@ QUERIES["recommendation_flags"] = (
 for _flag, _name in (("High CTR", "rec_high"), ("Low CTR", "rec_low")):
     QUERIES[_name] = (
         lambda spark, sf, f=_flag: R.recommended_by_flag(recommendations(spark, sf), f),
-        O.statement(f"SELECT {_RECS} FROM recs WHERE contains(flag, '{_flag}') "
-                    f"ORDER BY spend DESC, kind, app_id, name LIMIT 100"),
+        O.statement(f"SELECT {_RECS} FROM recs WHERE contains(flag, '{_flag}')"),
     )
 
 

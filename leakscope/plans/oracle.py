@@ -263,23 +263,15 @@ CTES["auto_high"] = """
 SELECT name, app_id, products, impressions, clicks, ctr, spend, conversions, ttddv, raw_value,
   category, reason
 FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY x_over_norm DESC, products) AS rn
-  FROM high_all WHERE name NOT IN (SELECT placement FROM site_flagged))
+  FROM high_all WHERE lower(trim(name)) NOT IN (SELECT k FROM handled))
 WHERE rn = 1
 """
-# The block lists without the "already handled" test, so that the merged lists overlap.
-CTES["open_high"] = """
-SELECT name, app_id, products, impressions, clicks, ctr, spend, conversions, ttddv, raw_value,
-  category, reason
-FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY x_over_norm DESC, products) AS rn
-  FROM high_all) WHERE rn = 1
-"""
 CTES["queue"] = """
 SELECT kind, CAST((rn - 1) // 50 AS INTEGER) AS batch, CAST((rn - 1) % 50 + 1 AS INTEGER) AS line,
   name, app_id, products, impressions, clicks, conversions, spend, ttddv, raw_value
 FROM (SELECT *, row_number() OVER (PARTITION BY kind
     ORDER BY impressions DESC, app_id, name) AS rn
   FROM (SELECT 'site' AS kind, * FROM cand_site UNION ALL SELECT 'app', * FROM cand_app))
-WHERE rn <= 200
 """
 CTES["verdict_rows"] = f"""
 SELECT kind, name, app_id, products, impressions, clicks, {CTR} AS ctr, spend, conversions,
@@ -311,7 +303,7 @@ WHERE rn = 1
 
 
 _sites, _sites_union = _merged(
-    ["(SELECT * FROM verdict_rows WHERE kind = 'site')", "open_high", "low_all"])
+    ["(SELECT * FROM verdict_rows WHERE kind = 'site')", "auto_high", "auto_low"])
 _apps, _apps_union = _merged(
     ["(SELECT * FROM verdict_rows WHERE kind = 'app')", "auto_apps"])
 CTES["site_parts"] = _sites_union
@@ -432,7 +424,6 @@ FROM (SELECT *, {CTR} AS ctr FROM (
     {sums('impressions', 'clicks', 'conversions', 'spend')}, bool_or(is_block) AS blocked,
     max(served_date) AS last
   FROM delivery WHERE impressions > 0 GROUP BY placement, placement_type))
-ORDER BY impressions DESC, name, placement_type LIMIT 300
 """
 
 

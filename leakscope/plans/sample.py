@@ -21,15 +21,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """The line items, spread over the cores when the scan has fewer splits than there are cores.
-
-    A real fact table has many splits and is left as it lies; one small file would otherwise keep
-    everything behind it in a single task.
-    """
+    """The line items."""
     df = table(spark, sf, "lineitem")
-    df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.select(*columns) if columns else df
 
 
 def _long(c) -> Column:

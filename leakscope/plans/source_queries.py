@@ -261,13 +261,10 @@ def file_inventory(spark, sf):
 
 
 @query("select_range_files", """
-SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY newest DESC) AS INTEGER)
-    AS position, path,
-  file_date, (SELECT max(n) > 16 FROM range_files) AS capped, CAST(NULL AS VARCHAR) AS reason
-FROM range_files WHERE newest <= 16
-  AND (SELECT count(DISTINCT kind) FROM range_files WHERE kind IN ('sites', 'apps')) = 2
+SELECT kind, path, file_date, modified, CAST(NULL AS VARCHAR) AS reason
+FROM range_files WHERE (SELECT count(DISTINCT kind) FROM range_files WHERE kind IN ('sites', 'apps')) = 2
 UNION ALL
-SELECT NULL, NULL, NULL, NULL, false, 'no site and app files in the window'
+SELECT NULL, NULL, NULL, NULL, 'no site and app files in the window'
 WHERE (SELECT count(DISTINCT kind) FROM range_files WHERE kind IN ('sites', 'apps')) < 2""")
 def select_range_files(spark, sf):
     return M.select_range_files(facts.manifest(spark, sf), "2006-04-20", "2006-03-01")
@@ -390,8 +387,8 @@ def watchlist_export(spark, sf):
 
 @query("creative_findings_export", """
 SELECT 'blank_campaigns' AS finding, count(*) AS rows FROM blank_camps
-UNION ALL SELECT 'blank_rows', least(count(*), 50000) FROM checked WHERE blank_creative
-UNION ALL SELECT 'no_utm', least(count(*), 20000) FROM checked WHERE no_utm
+UNION ALL SELECT 'blank_rows', count(*) FROM checked WHERE blank_creative
+UNION ALL SELECT 'no_utm', count(*) FROM checked WHERE no_utm
 UNION ALL SELECT 'winners', count(*) FROM winners""")
 def creative_findings_export(spark, sf):
     d = facts.creative(spark, sf)

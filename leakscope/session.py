@@ -1,7 +1,5 @@
 """Session settings and the folder that all executors share."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Adaptive execution does the size checks the operators rely on: it broadcasts a join side once
@@ -23,20 +21,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written tables and checkpoints: the one the session names.
+    """Folder for written tables that all executors share: the one named by the session.
 
-    Only a session on one machine that names none (a test) gets a folder of its own.
+    That is `spark.checkpoint.dir`, or the session's warehouse where it is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="leakscope-")
-    return _own[app]
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 from leakscope.functions.text import fold
 from leakscope.sources.pooling import newest_rows
 
-CHECK_ROWS = 20_000
-BLANK_ROWS = 50_000
-
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", order: list | None = None) -> None:
     """Overwrite one table; `order` sorts it globally, so its part files read in order."""
@@ -47,28 +44,12 @@ def watchlist_export(watchlists: dict[str, DataFrame], root: str) -> None:
         write_table(watchlist_columns(df), f"{root}/{name}", "csv")
 
 
-def finding_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Report order by impressions; a limit gives the report's top rows."""
-    if limit is None:
-        return df
-    ties = [c for c in df.columns if c != "impressions"]
-    return df.orderBy(F.desc("impressions"), *ties).limit(limit)
-
-
 def creative_findings_export(
     findings: dict[str, DataFrame], checks: dict[str, DataFrame], root: str
 ) -> list[str]:
-    """One output per finding that has rows; returns the names written.
-
-    Row tables of checks are top lists of an export for people (20,000 rows, 50,000 blank rows);
-    the findings themselves are written whole.
-    """
-    limited = {k: finding_rows(df, CHECK_ROWS) for k, df in checks.items()}
-    whole = {
-        k: finding_rows(df, BLANK_ROWS) if k == "blank_rows" else df for k, df in findings.items()
-    }
+    """One output per finding and check that has rows, written whole; returns the names written."""
     written = []
-    for name, df in (whole | limited).items():
+    for name, df in (findings | checks).items():
         if not df.isEmpty():
             write_table(df, f"{root}/{name}", "csv")
             written.append(name)

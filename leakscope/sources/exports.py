@@ -40,12 +40,15 @@ def money_of(c: Column) -> Column:
 
 
 def date_of(c: Column) -> Column:
-    """Dates as the exports write them; null when none of the forms fits."""
+    """Dates as the exports write them, with or without a time; null when no form fits whole."""
     text = strip(c.cast("string"))
+    iso = F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp"))
     return F.coalesce(
-        F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"),
+        iso.cast("date"),
         F.try_to_date(text, "M/d/yyyy"),
         F.try_to_date(text, "M/d/yy"),
+        F.try_to_date(text, "M/d/yyyy H:mm"),
+        F.try_to_date(text, "M/d/yyyy H:mm:ss"),
     )
 
 

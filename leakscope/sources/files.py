@@ -1,6 +1,6 @@
 """Choosing export files from a manifest of (path, modified)."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.functions import constants as K
@@ -45,49 +45,29 @@ def file_inventory(manifest: DataFrame) -> DataFrame:
 
 
 def select_range_files(
-    manifest: DataFrame, start: str, end: str, grace_days: int = 8, per_kind: int = 16
+    manifest: DataFrame, start: str, end: str, grace_days: int = 8
 ) -> DataFrame:
-    """Newest files of each kind dated in [start, end + grace], oldest first by position.
+    """All files dated in [start, end + grace]; oldest first by (file_date, modified, path).
 
-    `capped` tells that older files of some kind were left out. Reversed bounds are swapped. A
-    window without both a site and an app file gives one row with the reason.
+    Reversed bounds are swapped. A window without both a site and an app file gives one row with
+    the reason.
     """
     start, end = min(start, end), max(start, end)
     window_end = F.date_add(F.lit(end).cast("date"), grace_days)
     dated = export_files(manifest).filter(
         (F.col("file_date") >= F.lit(start).cast("date")) & (F.col("file_date") <= window_end)
     )
-    state = dated.groupBy("kind").agg(F.count("*").alias("n")).agg(
-        F.struct(
-            F.coalesce(F.max("n") > per_kind, F.lit(False)).alias("capped"),
-            (F.count_if(F.col("kind").isin("sites", "apps")) == 2).alias("complete"),
-        )
+    complete = dated.agg(
+        F.count_distinct(F.when(F.col("kind").isin("sites", "apps"), F.col("kind"))) == 2
     ).scalar()
-    # row_number <= k is cut per map task before the shuffle (window group limit), so a task
-    # ranks a few files per kind and input partition, not the whole manifest.
-    newest = Window.partitionBy("kind").orderBy(
-        F.desc("file_date"), F.desc("modified"), F.desc("path")
-    )
-    picked = (
-        dated.withColumn("_n", F.row_number().over(newest))
-        .filter(F.col("_n") <= per_kind)
-        .withColumn(
-            "position",
-            F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("_n"))),
-        )
-        .withColumn("_state", state)
-    )
-    chosen = picked.filter("_state.complete").select(
-        "kind", "position", "path", "file_date", F.col("_state.capped").alias("capped"),
-        F.lit(None).cast("string").alias("reason"),
-    )
-    spark = manifest.sparkSession
-    missing = spark.range(1).select(
-        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("position"),
-        F.lit(None).cast("string").alias("path"), F.lit(None).cast("date").alias("file_date"),
-        F.lit(False).alias("capped"),
+    chosen = dated.withColumn("_complete", complete).filter("_complete").select(
+        "kind", "path", "file_date", "modified", F.lit(None).cast("string").alias("reason"))
+    missing = manifest.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("path"),
+        F.lit(None).cast("date").alias("file_date"),
+        F.lit(None).cast(chosen.schema["modified"].dataType).alias("modified"),
         F.lit("no site and app files in the window").alias("reason"),
-        state.getField("complete").alias("_complete"),
+        complete.alias("_complete"),
     ).filter(~F.col("_complete")).drop("_complete")
     return chosen.unionByName(missing)
 

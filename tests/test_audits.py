@@ -153,7 +153,7 @@ def test_converters_are_never_flagged(spark, small, kind):
 
 def test_shares_add_up(spark, small):
     d = facts.delivery(spark, small)
-    assert L.top_placements(d, None).agg(F.sum("pct_impr")).first()[0] == pytest.approx(1)
+    assert L.top_placements(d).agg(F.sum("pct_impr")).first()[0] == pytest.approx(1)
     products = V.perf_by_product(facts.performance(spark, small))
     assert products.agg(F.sum("pct_of_spend")).first()[0] == pytest.approx(1)
     sizes = Z.perf_by_size(facts.creative(spark, small))
@@ -254,3 +254,16 @@ def test_excluded_variants(spark):
     excluded = spark.createDataFrame([("https://www.TMZ.com/foo",)], "value string")
     assert [r.name for r in R.drop_excluded(blocks, "site", excluded).collect()] == ["b.com"]
     assert R.drop_excluded(blocks, "app", excluded).count() == 2
+
+
+def test_review_numbers_every_candidate(spark):
+    from leakscope.operators.recommend import review_queue
+
+    df = spark.range(1000).selectExpr(
+        "concat('n', id) AS name", "concat('a', id) AS app_id", "(id * 7919) % 311 AS impressions")
+    got = review_queue({"site": df, "app": df.filter("id < 3")}).collect()
+    for kind, n in (("site", 1000), ("app", 3)):
+        rows = sorted((r for r in got if r.kind == kind), key=lambda r: (r.batch, r.line))
+        assert [(r.batch, r.line) for r in rows] == [(i // 50, i % 50 + 1) for i in range(n)]
+        order = [(-r.impressions, r.app_id, r.name) for r in rows]
+        assert order == sorted(order)

@@ -121,7 +121,7 @@ def test_files(spark):
         ("sites", dt.date(2026, 3, 1)), ("ttddv", dt.date(2026, 3, 9))]
     none = M.select_range_files(df, "2026-01-01", "2026-01-02")
     assert [r.reason for r in none.collect()] == ["no site and app files in the window"]
-    some = M.select_range_files(df, "2026-03-02", "2026-03-01", per_kind=1)
+    some = M.select_range_files(df, "2026-03-02", "2026-03-01")
     assert {r.kind for r in some.collect()} == {"sites", "apps", "ttddv", "creatives"}
 
 
@@ -130,6 +130,27 @@ def test_list_files(spark, small):
     assert kinds.columns == ["path", "modified"] and kinds.count() == 14
 
 
+def test_all_files_of_a_window(spark):
+    at = dt.datetime(2026, 3, 9)
+    names = [(f"x/{kind}_202603{d:02}_{i}.csv", at) for kind in ("site", "app")
+             for d in range(1, 21) for i in range(3)]
+    df = spark.createDataFrame(names, "path string, modified timestamp")
+    assert M.select_range_files(df, "2026-03-01", "2026-03-20").count() == 120
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("2026-05-01", dt.date(2026, 5, 1)), ("2026-1-5", dt.date(2026, 1, 5)),
+    ("5/1/2026 0:00", dt.date(2026, 5, 1)), ("5/1/2026", dt.date(2026, 5, 1)),
+    ("5/1/26", dt.date(2026, 5, 1)), ("2026-05-01 10:20:30", dt.date(2026, 5, 1)),
+    ("2026-05-01T10:20:30", dt.date(2026, 5, 1)), ("2026-05-01junk", None), ("2026", None),
+    ("", None), (None, None)])
+def test_export_dates_are_read_whole(spark, text, expected):
+    from leakscope.sources.exports import date_of
+
+    df = spark.createDataFrame([(text,)], "v string")
+    assert df.select(date_of(F.col("v"))).first()[0] == expected
+
+
 @pytest.mark.parametrize("text,expected", [
     ("Date(2026,3,29)", dt.date(2026, 4, 29)), ("Date(2026,12,1)", None),
     ("3/9/2026", dt.date(2026, 3, 9)), ("2026-03-09", dt.date(2026, 3, 9)),
