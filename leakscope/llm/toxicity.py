@@ -58,29 +58,32 @@ def _sequences(word: str) -> set[str]:
 
 
 def _dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and of the ordinary dictionary."""
-    seen = (Counter(), Counter())
-    words = (Counter(), Counter())
-    size = [0, 0]
-    by_word: dict[str, set[str]] = {}
+    """Contents of the toxic and of the ordinary dictionary.
+
+    Sequences are counted in toxic documents; in ordinary ones only those that are common there.
+    """
+    words, size, seen = (Counter(), Counter()), [0, 0], Counter()
     for text, y in zip(texts, toxic):
         own = set(windows(text))
         words[y].update(own)
         size[y] += 1
-        for w in own:
-            if w not in by_word:
-                by_word[w] = _sequences(w)
-        seen[y].update(set().union(*(by_word[w] for w in own)))
+        if y:
+            seen.update(set().union(*map(_sequences, own)))
+    seen = {s: n for s, n in seen.items() if n >= SUPPORT}
+    ordinary_seen = Counter()
+    for w, n in words[0].items():
+        for s in _sequences(w):
+            if s in seen:
+                ordinary_seen[s] += n
     least = RATIO * size[1] / max(size[0], 1)
-    telling = {s for s, n in seen[1].items() if n >= SUPPORT and n >= least * (seen[0][s] + 0.5)}
-    ranked = sorted(
-        ((max((seen[1][s] for s in by_word[w] & telling), default=0), w) for w in words[1]),
-        reverse=True)
+    telling = {s: n for s, n in seen.items() if n >= least * (ordinary_seen[s] + 0.5)}
+    ranked = sorted(((max((telling.get(s, 0) for s in _sequences(w)), default=0), w)
+                     for w in words[1]), reverse=True)
     covered, chosen, held = set(), [], 0
     for n, w in ranked:
-        new = by_word[w] & telling - covered
         if not n or held > TOXIC_BYTES:
             break
+        new = {s for s in _sequences(w) if s in telling} - covered
         if new:
             chosen.append(w)
             covered |= new
@@ -89,7 +92,7 @@ def _dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes]:
     for w, _ in sorted(words[0].items(), key=lambda x: (-x[1], x[0])):
         if held > ORDINARY_BYTES:
             break
-        if not by_word[w] & telling:
+        if not any(s in telling for s in _sequences(w)):
             ordinary.append(w)
             held += len(w.encode()) + 2
     # the most telling words last: a nearer match is cheaper
