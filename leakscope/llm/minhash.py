@@ -33,7 +33,7 @@ BANDS, ROWS = 48, 5
 BLOCK = 128
 
 # Bytes of text hashed at once in a task.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def _probe_order(bins: int) -> np.ndarray:

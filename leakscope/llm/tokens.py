@@ -15,7 +15,7 @@ from collections import Counter
 import numpy as np
 
 # Units that a generation holds; the last two generations are kept.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 200_000
 LONG_UNIT = 200
 
 #: Blank to Python's str but not to the tokenizers' patterns.

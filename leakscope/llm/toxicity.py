@@ -40,7 +40,7 @@ LEVEL = 3
 # dictionaries, stands there instead of the word's.
 TAIL = b"!Fk6[&Kp;`+Pu@e0Uz%Ej5Zo*Jy:_/Oi?d.Tn4Ys"
 STEPS = range(-2, 8)
-KEPT = 400_000
+KEPT = 150_000
 
 _WORDS = re.compile(r"\S+")
 

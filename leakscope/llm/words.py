@@ -12,7 +12,7 @@ _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
 
 # So many bytes are hashed at a time; a longer word makes its segment as long as needed.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
