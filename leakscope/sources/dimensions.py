@@ -28,7 +28,7 @@ def block_date(text: Column) -> Column:
 def blocklist_rows(tabs: dict[str, DataFrame], value_at: int = 1, date_at: int = 4) -> DataFrame:
     """Positional tab frames -> (value, tab, date_added) rows.
 
-    A header row is one whose value or date cell is a header word; a tab without one loses nothing.
+    A header row is one with a header word in any cell; a tab without one loses nothing.
     """
     parts = []
     for tab, df in tabs.items():
@@ -40,13 +40,13 @@ def blocklist_rows(tabs: dict[str, DataFrame], value_at: int = 1, date_at: int =
             df.select(
                 strip(F.col(f"`{cols[value_at]}`")).alias("value"), F.lit(tab).alias("tab"),
                 date.cast("string").alias("_date"),
+                F.greatest(F.lit(False), *[
+                    text_in(F.col(f"`{c}`").cast("string"), K.BLOCKLIST_HEADER_WORDS) for c in cols
+                ]).alias("_header"),
             )
         )
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    words = K.BLOCKLIST_HEADER_WORDS
-    body = rows.filter(
-        ~text_in(F.col("value"), ["", *words]) & ~text_in(F.col("_date"), words)
-    )
+    body = rows.filter(~text_in(F.col("value"), [""]) & ~F.col("_header"))
     return body.select("value", "tab", block_date(F.col("_date")).alias("date_added"))
 
 
@@ -115,8 +115,10 @@ def buyer_dim(rows: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def read_buyers(spark: SparkSession, path: str) -> DataFrame:
+    """Buyers from CSV: of repeated partners the last row of the last file by path wins."""
     rows = spark.read.option("header", True).csv(path)
-    return buyer_dim(rows, F.monotonically_increasing_id())
+    return buyer_dim(rows, F.struct(
+        "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))
 
 
 def with_buyer(df: DataFrame, buyers: DataFrame, partner: str = "business_unit") -> DataFrame:

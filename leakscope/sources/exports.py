@@ -30,9 +30,9 @@ OVERVIEW_NUMBERS = [
 
 
 def count_of(c: Column) -> Column:
-    """Any text or number as a count; what does not parse is 0."""
+    """Any text or number as a count: fractions round half up, what does not parse is 0."""
     number = F.nanvl(c.try_cast("double"), F.lit(0.0))
-    return F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.round(number).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def money_of(c: Column) -> Column:
@@ -67,9 +67,11 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.withColumns(casts)
 
 
-def _read_one(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def _read_one(spark: SparkSession, path: str, fmt: str, multi_line: bool) -> DataFrame:
+    """One path. CSV files of a folder must share one header: others fail rather than shift."""
     if fmt == "csv":
-        return spark.read.option("header", True).option("escape", '"').csv(path)
+        return spark.read.options(
+            header=True, escape='"', enforceSchema=False, multiLine=multi_line).csv(path)
     return spark.read.format(fmt).load(path)
 
 
@@ -77,29 +79,38 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_delivery_export(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:
+def read_delivery_export(
+    spark: SparkSession, paths, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
     """Site/app exports with canonical headers, used columns only and coerced measures.
 
     Headers are resolved per path, because exports of different days may order or name their
-    columns differently; the rows of all paths are one lazy union.
+    columns differently; the rows of all paths are one lazy union. A folder whose CSV files differ
+    in their header fails when it is read: pass such files as paths of their own. With
+    `multi_line` quoted values may hold line breaks, and a file is read by one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = [
-        _typed(canonical_columns(_read_one(spark, p, fmt), DELIVERY_HEADERS, DELIVERY_COLUMNS))
+        _typed(canonical_columns(
+            _read_one(spark, p, fmt, multi_line), DELIVERY_HEADERS, DELIVERY_COLUMNS))
         for p in paths
     ]
     return clean_app_identity(_union(frames))
 
 
-def read_creative_export(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:
+def read_creative_export(
+    spark: SparkSession, paths, fmt: str = "csv", multi_line: bool = True
+) -> DataFrame:
     """Creative exports. Names and URLs stay verbatim: blanks are what the audit looks for.
 
+    Names may hold quoted line breaks, so a CSV file is read by one task unless `multi_line` is
+    off. As in `read_delivery_export`, the files of one path share a header.
     A layout without a creative name comes back unpruned, so the caller can refuse it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = []
     for p in paths:
-        raw = _read_one(spark, p, fmt)
+        raw = _read_one(spark, p, fmt, multi_line)
         df = canonical_columns(raw, CREATIVE_HEADERS, CREATIVE_COLUMNS)
         frames.append(_typed(df) if "Creative Name" in df.columns else raw)
     return _union(frames)

@@ -13,6 +13,12 @@ from leakscope.operators.creative_alert import creative_alert_rows
 from leakscope.sources.pooling import newest_rows
 
 
+# Files that a batch adds to a day at most.
+FILES_PER_DAY = 8
+# Batch of compacted rows; streams number theirs from 0.
+COMPACTED = -1
+
+
 def _run(stream: DataFrame, on_batch, checkpoint: str) -> None:
     query = (
         stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
@@ -29,24 +35,47 @@ def _file_stream(spark: SparkSession, schema: StructType, source: str, files: in
 def incremental_pool(
     spark: SparkSession, schema: StructType, source: str, store: str, checkpoint: str,
     keys: list[str], version: list[str], date: str = "served_date",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, files_per_day: int = FILES_PER_DAY,
 ) -> None:
     """Add newly arrived exports to the store, newest version of each key first within a batch.
 
     The store is partitioned by delivery date and batch. Nothing is rewritten: a late file that
-    restates old days adds a small partition to those days, and readers resolve the versions.
+    restates old days adds a small partition to those days, and readers resolve the versions. A
+    batch writes at most `files_per_day` files to a day; `compact_store` folds batches together.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        (
-            newest_rows(batch, keys, version).withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(date, "batch_id").parquet(store)
-        )
+        _write_days(newest_rows(batch, keys, version).withColumn("batch_id", F.lit(batch_id)),
+                    store, keys, date, files_per_day)
 
     _run(_file_stream(spark, schema, source, files_per_batch), on_batch, checkpoint)
 
 
+def _write_days(
+    rows: DataFrame, store: str, keys: list[str], date: str, files_per_day: int
+) -> None:
+    """Each day's rows go to a few tasks by their keys, so that a large day is no single task."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(files_per_day))
+    (
+        rows.repartition(F.col(date), salt)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(date, "batch_id").parquet(store)
+    )
+
+
+def compact_store(
+    spark: SparkSession, store: str, target: str, keys: list[str], version: list[str],
+    date: str = "served_date", files_per_day: int = FILES_PER_DAY,
+) -> None:
+    """Write the current rows of a store to the new store `target`, one version for each key.
+
+    The old store stays as it is, so a failed run is repeated from it. A stream that goes on with
+    `target` and the same checkpoint adds its batches beside the compacted rows.
+    """
+    rows = pooled_rows(spark, store, keys, version).withColumn("batch_id", F.lit(COMPACTED))
+    _write_days(rows, target, keys, date, files_per_day)
+
+
 def pooled_rows(
     spark: SparkSession, store: str, keys: list[str], version: list[str]
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from leakscope.sources import files as M
 from leakscope.sources.creatives import normalize_creative
 from leakscope.sources.headers import CREATIVE_HEADERS, canonical_columns, find_by_tokens
 from leakscope.sources.pooling import pool_exports
+from leakscope.streaming import incremental as I
 
 
 def rows(df):
@@ -44,9 +45,39 @@ def test_exports_with_different_layouts(spark):
     assert df.agg(F.sum("Billable Spend").cast("double")).first()[0] == 1.2345
 
 
+def as_file(spark, name, lines):
+    """A CSV file with exactly these lines in the folder `name`."""
+    text = "\n".join(lines)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(name)
+
+
+def test_files_of_one_folder_with_other_headers_fail(spark):
+    path = fresh_path(spark, "mixed")
+    as_file(spark, path, ["Client,Impressions,Clicks", "Acme,10,2"])
+    as_file(spark, path, ["Clicks,Client,Impressions", "3,Beta,20"])
+    with pytest.raises(Exception, match="(?i)header"):
+        X.read_delivery_export(spark, path).collect()
+
+
+def test_headers_are_checked_on_used_columns_only(spark):
+    path = fresh_path(spark, "same")
+    as_file(spark, path, ["Client,Margin,Impressions", "Acme,1,10"])
+    as_file(spark, path, ["Client,Margin,Impressions", "Beta,2,20"])
+    df = X.read_delivery_export(spark, path)
+    assert df.count() == 2 and df.agg(F.sum("Impressions")).first()[0] == 30
+
+
+def test_creative_names_with_line_breaks(spark):
+    path = fresh_path(spark, "breaks")
+    as_file(spark, path, ["Creative Name,Impressions", '"a', 'b",7', "c,1"])
+    got = rows(X.read_creative_export(spark, path).select("Creative Name", "Impressions"))
+    assert got == [("a\nb", 7), ("c", 1)]
+
+
 def test_coercion(spark):
-    df = spark.createDataFrame([("12",), ("x",), ("nan",), (None,), ("3.0",)], "v string")
-    assert [r[0] for r in df.select(X.count_of(F.col("v"))).collect()] == [12, 0, 0, 0, 3]
+    df = spark.createDataFrame(
+        [("12",), ("x",), ("nan",), (None,), ("3.0",), ("12.7",)], "v string")
+    assert [r[0] for r in df.select(X.count_of(F.col("v"))).collect()] == [12, 0, 0, 0, 3, 13]
     ids = spark.createDataFrame([("1001801.0",), ("A1.0",), (None,)], "v string")
     assert [r[0] for r in ids.select(X.id_of(F.col("v"))).collect()] == ["1001801", "A1.0", ""]
 
@@ -168,6 +199,7 @@ def test_blocklist(spark):
         "CTV": tab([("Name", "Domain or App", "Type", "", "Date added"),
                     ("x", "A.com ", "", "", "2026-01-05"), ("x", "a.com", "", "", "2026-01-02")]),
         "Social Mirror": tab([("Domain or App", "Bundle", "", "", "Date added")]),
+        "Excluded": tab([("Name", "Site", "Type", "x", "Added")]),
         "Audio": tab([("first", "kept.com", "", "", ""), ("x", "", "", "", "")]),
     }))
     assert rows(dim.select("match_key", "tab", "date_added")) == [
@@ -177,6 +209,34 @@ def test_blocklist(spark):
     assert keys["kept.com"].date_added is None and keys["a.com"].lists == "CTV"
 
 
+def test_compaction_keeps_the_newest_rows(spark):
+    source, store, target, state = (
+        fresh_path(spark, n) for n in ("arrivals", "store", "compacted", "state"))
+    first = spark.sql("SELECT DATE'2026-01-01' served_date, 'a' client, 1 version, 5 impressions")
+    again = spark.sql("SELECT DATE'2026-01-01' served_date, 'a' client, 2 version, 7 impressions "
+                      "UNION ALL SELECT DATE'2026-01-02', NULL, 1, 3")
+    keys, version = ["served_date", "client"], ["version"]
+    for batch in (first, again, again):
+        batch.write.mode("append").parquet(source)
+        I.incremental_pool(spark, first.schema, source, store, state, keys, version)
+    I.compact_store(spark, store, target, keys, version)
+    columns = ["served_date", "client", "version", "impressions"]
+    raw = spark.read.parquet(target)
+    assert rows(raw.select(columns)) == rows(
+        I.pooled_rows(spark, store, keys, version).select(columns))
+    assert raw.count() == 2 and raw.where("client = 'a'").first().impressions == 7
+    again.write.mode("append").parquet(source)
+    I.incremental_pool(spark, first.schema, source, target, state, keys, version)
+    assert rows(I.pooled_rows(spark, target, keys, version).select(columns)) == rows(
+        raw.select(columns))
+
+
+def test_last_buyer_of_the_file_wins(spark):
+    path = fresh_path(spark, "buyers")
+    as_file(spark, path, ["Partner,Buyer", "Acme,Zoe", "Acme,Bob", "Beta,Cy"])
+    assert dict(rows(D.read_buyers(spark, path))) == {"Acme": "Bob", "Beta": "Cy"}
+
+
 def test_buyers(spark):
     df = spark.createDataFrame(
         [(1, "Acme", "Ann"), (2, "Acme", "Bob"), (3, " ", "Cy"), (4, "acme ", "Dee")],
