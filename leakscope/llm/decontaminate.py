@@ -53,25 +53,25 @@ def _hashed(texts: DataFrame) -> DataFrame:
         "doc_id", F.xxhash64("doc_id", "h").alias("doc_key"), "h")
 
 
-def _best_stretch(equal: Column) -> Column:
-    """Start, length and matches of the best stretch of an array of booleans."""
-    zero = F.struct(*[F.lit(0).alias(c) for c in
-                      ("i", "sum", "from", "hits", "top", "start", "length", "matches")])
-
-    def step(s, same):
-        fresh = s["sum"] <= 0
-        total = F.when(fresh, 0).otherwise(s["sum"]) + F.when(same, 1).otherwise(-2)
-        begin = F.when(fresh, s["i"]).otherwise(s["from"])
-        hits = F.when(fresh, 0).otherwise(s["hits"]) + F.when(same, 1).otherwise(0)
-        better = total > s["top"]
-        return F.struct(
-            (s["i"] + 1).alias("i"), total.alias("sum"), begin.alias("from"), hits.alias("hits"),
-            F.when(better, total).otherwise(s["top"]).alias("top"),
-            F.when(better, begin).otherwise(s["start"]).alias("start"),
-            F.when(better, s["i"] - begin + 1).otherwise(s["length"]).alias("length"),
-            F.when(better, hits).otherwise(s["matches"]).alias("matches"))
-
-    return F.aggregate(equal, zero, step)
+def _best_stretch(at: Column, matches: Column, rate: float) -> Column:
+    """n_matches, -n_words and -start of the stretch with most equal words that meets both bounds.
+
+    `at` holds the places of equal words in order; null if no stretch does. Such a stretch can be
+    taken from the start of a run of equal words to the end of one.
+    """
+    every = F.sequence(F.lit(0), F.size(at) - 1)
+    starts = F.filter(every, lambda a: F.coalesce(F.get(at, a - 1), F.lit(-2)) < F.get(at, a) - 1)
+    ends = F.filter(every, lambda b: F.coalesce(
+        F.get(at, b + 1), F.get(at, b) + 2) > F.get(at, b) + 1)
+
+    def stretches(a):
+        held = F.filter(ends, lambda b: (b - a + 1 >= matches) & (
+            b - a + 1 >= rate * (F.get(at, b) - F.get(at, a) + 1)))
+        return F.transform(held, lambda b: F.struct(
+            (b - a + 1).alias("n_matches"), (F.get(at, a) - F.get(at, b) - 1).alias("short"),
+            (-F.get(at, a)).alias("early")))
+
+    return F.array_max(F.flatten(F.transform(starts, stretches)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, matches: int = MATCHES,
@@ -79,8 +79,8 @@ def leaks(docs: DataFrame, items: DataFrame, matches: int = MATCHES,
     """doc_id, item_id, n_matches, n_words, start_word, n_items: passages of items in documents.
 
     One row for each document and item with a stretch of at least `matches` equal words that make
-    up at least `rate` of the stretch, on one alignment and within 24 words of a hit; its best
-    stretch counts. Items that are alike around a seed are compared once, under the smallest
+    up at least `rate` of the stretch, on one alignment and within 24 words of a hit; the stretch
+    with most equal words counts. Items that are alike around a seed are compared once, under the smallest
     item_id; n_items says how many there are. Documents without a leak have no row.
 
     Documents and items of fewer than 12 words, null or empty texts have no window and give no
@@ -115,24 +115,27 @@ def leaks(docs: DataFrame, items: DataFrame, matches: int = MATCHES,
     at = F.col("item_at") + F.col("shift")
     before = F.least(at, F.col("item_at"), F.lit(REACH))
     after = F.least(F.size("h") - at - SPAN, F.size("g") - F.col("item_at") - SPAN, F.lit(REACH))
-    # Written, so that only the words around hits are carried on, not whole documents.
+    # Written, so that only the places of equal words around hits are carried on.
     aligned = written(
         read_again.drop("doc_id").join(hits, "doc_key")
         .join(held.select("item_id", "item_key", F.col("h").alias("g")), "item_key")
         .select(
             "doc_id", "item_id", "n_items", (at - before).alias("from"),
-            F.slice("h", at - before + 1, before + SPAN + after).alias("x"),
-            F.slice("g", F.col("item_at") - before + 1, before + SPAN + after).alias("y")),
+            F.array_compact(F.transform(
+                F.zip_with(
+                    F.slice("h", at - before + 1, before + SPAN + after),
+                    F.slice("g", F.col("item_at") - before + 1, before + SPAN + after),
+                    lambda a, b: a == b),
+                lambda same, i: F.when(same, i))).alias("equal")),
         "aligned")
-    found = aligned.select(
+    best = aligned.where(F.size("equal") >= matches).select(
         "doc_id", "item_id", "n_items", "from",
-        _best_stretch(F.zip_with("x", "y", lambda a, b: a == b)).alias("s"),
-    ).where((F.col("s.matches") >= matches) & (F.col("s.matches") >= rate * F.col("s.length")))
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct(
-            F.col("s.matches").alias("n_matches"), (-F.col("s.length")).alias("short"),
-            (-(F.col("from") + F.col("s.start"))).alias("early"))).alias("b"),
-        F.max("n_items").alias("n_items"),
-    ).select(
+        _best_stretch(F.col("equal"), F.lit(matches), rate).alias("s"))
+    return best.groupBy("doc_id", "item_id").agg(
+        F.max(F.when(F.col("s").isNotNull(), F.struct(
+            F.col("s.n_matches").alias("n_matches"), F.col("s.short").alias("short"),
+            (F.col("s.early") - F.col("from")).alias("early")))).alias("b"),
+        F.max(F.when(F.col("s").isNotNull(), F.col("n_items"))).alias("n_items"),
+    ).where("b is not null").select(
         "doc_id", "item_id", F.col("b.n_matches").alias("n_matches"),
         (-F.col("b.short")).alias("n_words"), (-F.col("b.early")).alias("start_word"), "n_items")

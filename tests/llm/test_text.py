@@ -168,6 +168,19 @@ def test_leaks_with_substitutions(spark):
     assert got[4]["n_matches"] == 20 and got[4]["n_words"] == 20
 
 
+def test_leaks_any_stretch(spark):
+    """A stretch that meets both bounds counts, also beside a shorter one of fewer changes."""
+    shapes = {1: "1" * 6 + "000" + "1" * 7, 2: "1" * 8 + "00" + "1" * 4}
+    docs = spark.createDataFrame(
+        [(d, " ".join(f"w{k}" if c == "1" else f"s{d}x{k}" for k, c in enumerate(shape)))
+         for d, shape in shapes.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(20)))],
+                                  "item_id long, text string")
+    got = {(r["doc_id"], r["n_matches"], r["n_words"], r["start_word"])
+           for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, 13, 16, 0), (2, 12, 14, 0)}
+
+
 def test_leaks_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     items = odd_docs.select(F.col("doc_id").alias("item_id"), "text", F.lit(1).alias("h"))
     rows = decontaminate.leaks(odd_docs, items).collect()
