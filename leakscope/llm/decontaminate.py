@@ -2,8 +2,11 @@
 
 A mask names positions of a word window that count; the others may differ. Windows of benchmark
 items and of documents are hashed under each mask and joined. Each hit is verified on the words
-around it: the best-scoring stretch along the hit's diagonal (a match counts 1, a substitution
--2) must hold enough matches at a high enough rate.
+around it: some stretch along the hit's diagonal must hold enough matches at a high enough rate.
+
+The masks fit every stretch of 10 or more equal words at a rate of 0.75 or more somewhere (a test
+goes through all of them). Items of fewer words count when the whole item stands in a document;
+their masks are as long as they are.
 
 The seeds of the benchmark, whose size is checked, are broadcast, so windows of documents are
 neither written nor shuffled. Only hits are; the documents that have some are read a second time to
@@ -15,10 +18,11 @@ from pyspark.sql import functions as F
 
 from leakscope.llm.common import broadcast_if_small, written
 
-# Positions that count, as 1; each mask spans 12 words and keeps 8.
-MASKS = ("111010110011", "110110001111", "101101110101")
-SPAN = 12
-REACH = 24
+# Positions that count, as 1. The longest mask spans SPAN words; a shortest stretch that meets the
+# bounds has at most 27 words, so that REACH holds it around any hit.
+MASKS = ("1010000111", "1101101", "110010011", "11110001")
+SPAN = 10
+REACH = 30
 MATCHES = 10
 RATE = 0.75
 
@@ -32,18 +36,19 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(at: Column) -> Column:
-    """One hash for each mask of the window that begins at `at` in the array `h`."""
-    return F.array(*[
-        F.xxhash64(F.lit(m), *[F.get(F.col("h"), at + i) for i, c in enumerate(mask) if c == "1"])
-        for m, mask in enumerate(MASKS)])
+def _seed(mask: str, at: Column) -> Column:
+    """Hash under a mask of the window that begins at `at` in the array `h`; null beyond its end."""
+    words = [F.get(F.col("h"), at + i) for i, c in enumerate(mask) if c == "1"]
+    return F.when(at + len(mask) <= F.size("h"), F.xxhash64(F.lit(int(mask, 2)), *words))
 
 
-def _windows(df: DataFrame, *keep: str) -> DataFrame:
+def _windows(df: DataFrame, masks: list[str], *keep: str) -> DataFrame:
+    """The seeds of each window; null where a mask does not fit."""
+    least, at = min(map(len, masks)), F.col("at")
     return (
-        df.where(F.size("h") >= SPAN)
-        .select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("at"))
-        .select(*keep, "h", "at", F.explode(_seeds(F.col("at"))).alias("seed"))
+        df.where(F.size("h") >= least)
+        .select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - least)).alias("at"))
+        .select(*keep, "h", "at", F.explode(F.array(*[_seed(m, at) for m in masks])).alias("seed"))
     )
 
 
@@ -79,24 +84,35 @@ def leaks(docs: DataFrame, items: DataFrame, matches: int = MATCHES,
     """doc_id, item_id, n_matches, n_words, start_word, n_items: passages of items in documents.
 
     One row for each document and item with a stretch of at least `matches` equal words that make
-    up at least `rate` of the stretch, on one alignment and within 24 words of a hit; the stretch
-    with most equal words counts. Items that are alike around a seed are compared once, under the smallest
+    up at least `rate` of the stretch, on one alignment and within 30 words of a hit; the stretch
+    with most equal words counts. An item of fewer than `matches` words needs all of them. Lower
+    bounds than the defaults find only passages that the masks fit. Items that are alike around a seed are compared once, under the smallest
     item_id; n_items says how many there are. Documents without a leak have no row.
 
-    Documents and items of fewer than 12 words, null or empty texts have no window and give no
-    row. Null ids are kept and compared as equal; documents that share a doc_id share their rows.
+    A single word is no passage: documents and items of one word, null or empty texts give no row. Null ids are kept and compared as equal; documents that share a doc_id share their rows.
     Repeated rows and other columns change nothing.
     """
     held = written(
         items.select(F.col("item_id"), word_hashes(F.col("text").cast("string")).alias("h"))
-        .where(F.size("h") >= SPAN).groupBy("h").agg(F.min("item_id").alias("item_id"))
+        .where(F.size("h") >= 2).groupBy("h").agg(F.min("item_id").alias("item_id"))
         .select("item_id", "h", F.xxhash64("item_id", "h").alias("item_key")), "items")
+    # Items too short for the masks, by length: the whole item is the seed.
+    lengths = [r["n"] for r in held.where(F.size("h") < SPAN).select(
+        F.size("h").alias("n")).distinct().collect()]
+    whole = ["1" * n for n in sorted(lengths)]
     left, right = F.greatest(F.lit(0), F.col("at") - REACH), F.col("at") + SPAN + REACH
     around = F.slice(F.col("h"), left + 1, F.least(right, F.size("h")) - left)
+
+    def item_seeds(of: DataFrame, masks: list[str]) -> DataFrame:
+        # Narrow before the union: whole items are not carried on with each of their windows.
+        return _windows(of, masks, "item_id", "item_key").where("seed is not null").select(
+            "seed", "item_id", "item_key", "at", F.xxhash64(around).alias("context"))
+
+    windows = item_seeds(held.where(F.size("h") >= SPAN), list(MASKS))
+    for mask in whole:
+        windows = windows.unionByName(item_seeds(held.where(F.size("h") == len(mask)), [mask]))
     seeds = written(
-        _windows(held, "item_id", "item_key")
-        .select("seed", "item_id", "item_key", "at", F.xxhash64(around).alias("context"))
-        .groupBy("seed", "context").agg(
+        windows.groupBy("seed", "context").agg(
             F.min(F.struct("item_id", "item_key", "at")).alias("first"),
             F.count_distinct("item_key").alias("n_items"))
         .select("seed", "n_items", F.col("first.item_key").alias("item_key"),
@@ -104,7 +120,7 @@ def leaks(docs: DataFrame, items: DataFrame, matches: int = MATCHES,
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     # Hits of one alignment within a span stand for one another.
     hits = written(
-        _windows(_hashed(texts), "doc_id", "doc_key")
+        _windows(_hashed(texts), [*MASKS, *whole], "doc_id", "doc_key")
         .join(broadcast_if_small(seeds, BROADCAST_SEEDS), "seed")
         .groupBy("doc_id", "doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"),
                  F.floor(F.col("item_at") / SPAN).alias("part"))
@@ -114,23 +130,22 @@ def leaks(docs: DataFrame, items: DataFrame, matches: int = MATCHES,
         broadcast_if_small(leaked), F.col("doc_id").eqNullSafe(F.col("hit_id")), "leftsemi"))
     at = F.col("item_at") + F.col("shift")
     before = F.least(at, F.col("item_at"), F.lit(REACH))
-    after = F.least(F.size("h") - at - SPAN, F.size("g") - F.col("item_at") - SPAN, F.lit(REACH))
-    # Written, so that only the places of equal words around hits are carried on.
+    after = F.least(F.size("h") - at, F.size("g") - F.col("item_at"), F.lit(SPAN + REACH))
+    # Written, so that only the words around hits are carried on, not whole documents.
     aligned = written(
         read_again.drop("doc_id").join(hits, "doc_key")
         .join(held.select("item_id", "item_key", F.col("h").alias("g")), "item_key")
         .select(
             "doc_id", "item_id", "n_items", (at - before).alias("from"),
-            F.array_compact(F.transform(
-                F.zip_with(
-                    F.slice("h", at - before + 1, before + SPAN + after),
-                    F.slice("g", F.col("item_at") - before + 1, before + SPAN + after),
-                    lambda a, b: a == b),
-                lambda same, i: F.when(same, i))).alias("equal")),
+            F.least(F.lit(matches), F.size("g")).alias("needed"),
+            F.slice("h", at - before + 1, before + after).alias("x"),
+            F.slice("g", F.col("item_at") - before + 1, before + after).alias("y")),
         "aligned")
-    best = aligned.where(F.size("equal") >= matches).select(
+    equal = F.array_compact(F.transform(
+        F.zip_with("x", "y", lambda a, b: a == b), lambda same, i: F.when(same, i)))
+    best = aligned.withColumn("equal", equal).where(F.size("equal") >= F.col("needed")).select(
         "doc_id", "item_id", "n_items", "from",
-        _best_stretch(F.col("equal"), F.lit(matches), rate).alias("s"))
+        _best_stretch(F.col("equal"), F.col("needed"), rate).alias("s"))
     return best.groupBy("doc_id", "item_id").agg(
         F.max(F.when(F.col("s").isNotNull(), F.struct(
             F.col("s.n_matches").alias("n_matches"), F.col("s.short").alias("short"),

@@ -2,6 +2,7 @@
 
 import collections
 import html
+import random
 import re
 import zlib
 
@@ -181,6 +182,51 @@ def test_leaks_any_stretch(spark):
     assert got == {(1, 13, 16, 0), (2, 12, 14, 0)}
 
 
+def test_masks_fit_every_passage():
+    """No shape of 10 or more equal words at a rate of 0.75 or more is without a seed.
+
+    Goes through all shapes, word by word: the best sum (+1 equal, -3 changed) of shapes without a
+    seed, by their last words and count of equal words. Shapes of over 27 words hold shorter ones.
+    """
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    low = 2 ** (decontaminate.SPAN - 1) - 1
+    best = {(0, 0): 0}
+    for _ in range(28):
+        longer = {}
+        for (last, n), total in best.items():
+            for equal in (0, 1):
+                now = last << 1 | equal
+                if any(now & m == m for m in masks):
+                    continue
+                key, value = (now & low, min(10, n + equal)), total + (1 if equal else -3)
+                longer[key] = max(longer.get(key, value), value)
+        best = longer
+        assert all(total < 0 for (_, n), total in best.items() if n == 10)
+
+
+def test_leaks_of_every_length(spark):
+    """Whole copies of items of any length, and copies with as many changes as the rate allows."""
+    draw = random.Random(5)
+    items, docs, want = [], [], set()
+    for n in (*range(2, 18), 20, 24, 32, 48):
+        passage = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(passage)))
+        most = min(n // 4, n - 10) if n > 10 else 0
+        for changes in range(most + 1):
+            for turn in range(12 if changes else 1):
+                changed = set(draw.sample(range(n), changes))
+                text = [f"s{k}" if k in changed else w for k, w in enumerate(passage)]
+                noise = [f"n{draw.random()}" for _ in range(turn)]
+                docs.append((len(docs), " ".join(noise + text + noise)))
+                want.add((len(docs) - 1, n))
+        if n < 10:  # all words of a short item are needed
+            docs.append((len(docs), " ".join(passage[:-1] + ["other"])))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["n_matches"] >= min(10, r["item_id"]) for r in got)
+
+
 def test_leaks_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     items = odd_docs.select(F.col("doc_id").alias("item_id"), "text", F.lit(1).alias("h"))
     rows = decontaminate.leaks(odd_docs, items).collect()
