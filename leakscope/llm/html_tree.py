@@ -6,14 +6,19 @@ from html import unescape
 
 # Element names of HTML by the role they play here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset(
-    "script style template noscript textarea title head svg math iframe object select option "
-    "button canvas audio video map".split())
-RAW = frozenset("script style textarea title template noscript svg math iframe select button "
-                "canvas audio video object".split())
+# Text up to the closing tag is no markup, and no text of the page; without one, to the page's end.
+RAW = frozenset("script style textarea title iframe".split())
+# Tags that say nothing of their text.
+SKIPPED = frozenset("head option map".split())
+# Elements whose text is not the page's; a block that opens in them ends them, as in browsers.
+ASIDE = frozenset("svg select button".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt "
-    "ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+    "ruby s samp small span strike strong sub sup time tt u var wbr br input "
+    "noscript object canvas audio video "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable "
+    "mtr mtd mstyle mpadded mspace mfenced menclose merror mmultiscripts mprescripts none "
+    "semantics annotation annotation-xml".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul "
@@ -60,7 +65,9 @@ def _traits(tag: str, parent: str, attributes: dict[str, str]) -> list[str]:
              for w in _WORD.findall(attributes.get(name, ""))}
     traits += [f"word:{w}" for w in sorted(words)]
     style = attributes.get("style", "").replace(" ", "").lower()
-    if "hidden" in attributes or "display:none" in style or attributes.get("aria-hidden") == "true":
+    if tag in ASIDE or tag == "template":
+        traits.append("hidden")
+    elif "hidden" in attributes or "display:none" in style or attributes.get("aria-hidden") == "true":
         traits.append("hidden")
     return traits
 
@@ -73,10 +80,10 @@ def _text_traits(parent: str, text: str, linked: int) -> list[str]:
 
 
 def parse(html: str) -> Page:
-    """The page's tree. Elements that never hold article text are left out with what they hold."""
+    """The page's tree. Elements whose text is no markup (RAW) are left out with what they hold."""
     nodes, texts = [Node("root", -1, ["tag:root"])], []
     stack: list[tuple[str, int]] = [("root", 0)]  # open elements; inline ones share the node around
-    block, run, linked, links = 0, [], 0, 0
+    block, run, linked, links, asides = 0, [], 0, 0, False
 
     def flush():
         nonlocal linked
@@ -135,12 +142,13 @@ def parse(html: str) -> Page:
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
-            if tag not in INLINE:
-                flush()
-                block += tag not in ("script", "style", "template", "noscript")
+            flush()
+            block += tag not in ("script", "style")
             continue
-        if tag in DROPPED:
+        if tag in RAW or tag in SKIPPED:
             continue
+        if m[3].endswith("/") and any(t in ("svg", "math") for t in (tag, *(t for t, _ in stack))):
+            continue  # there, a tag may end its own element
         if tag == "br":
             run.append(" ")
             continue
@@ -150,10 +158,13 @@ def parse(html: str) -> Page:
         if tag in VOID:
             continue
         if tag in CLOSES_P:
+            if asides:
+                end_open(ASIDE, ("foreignobject",))
             end_open(("p",), ("table", "td", "th", "caption"))
         if tag in ENDS:
             end_open(*ENDS[tag])
         attributes = _attributes(m[3]) if m[3].strip() else {}
+        asides |= tag in ASIDE
         inline = tag in INLINE
         if inline and not (attributes.keys() & {"class", "id", "role", "hidden", "style"}
                            and tag == "span"):

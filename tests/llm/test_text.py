@@ -353,6 +353,30 @@ def test_main_text(page, text):
     assert html_extract.main_text(page, MODEL) == text
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "math", "canvas", "audio",
+                                 "video", "noscript"])
+def test_unclosed_element_before_article(tag):
+    page = f"<body><div class=nav><{tag}></div><article><p>{S}</p></article>"
+    assert html_extract.main_text(page, MODEL) == S
+    page = f"<body><{tag}><article><p>{S}</p><p>{S}</p></article>"
+    assert html_extract.main_text(page, MODEL) == f"{S}\n{S}"
+
+
+@pytest.mark.parametrize("inside, text", [
+    ("<math><mi>x</mi><mo>+</mo><mn>1</mn></math>", "x+1"),
+    ("<math display=block><mfrac><mi>a</mi><mi>b</mi></mfrac><mspace/></math>", "ab"),
+    ("<noscript>a note</noscript>", "a note"), ("<object data=x>a chart</object>", "a chart"),
+    ("<svg><title>t</title><path d=x/><text>label</text></svg>", ""),
+    ("<button>Share</button>", ""), ("<select><option>One<option>Two</select>", ""),
+    ("<template>slot</template>", ""), ("<iframe><p>no</p></iframe>", ""),
+    ("<script>a < b</script>", ""),
+])
+def test_elements_within_article(inside, text):
+    page = f"<body><article><p>{S}</p><p>{S} {inside} {S}</p></article><footer>x</footer>"
+    got = html_extract.main_text(page, MODEL)
+    assert " ".join(got.split()) == " ".join(f"{S} {S} {text} {S}".split())
+
+
 def test_extract_pages(spark, sf):
     rows = {r["page_id"]: r for r in QUERIES["op9_html_extract"][0](spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
