@@ -141,6 +141,15 @@ def blocklist_rows(spark: SparkSession, sf: str) -> DataFrame:
     return sites.unionByName(apps)
 
 
+def audio_blocklist_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the Audio tab, from suppliers that are on no other tab."""
+    key = F.col("s_suppkey")
+    day = F.when(key % 3 != 0, F.when(key % 7 == 0, F.lit("2002-06-01").cast("date")).otherwise(
+        F.date_add(F.lit("1998-01-01").cast("date"), key.cast("int"))))
+    return table(spark, sf, "supplier").filter(key % 4 == 3).select(
+        F.col("s_name").alias("value"), F.lit("Audio").alias("tab"), day.alias("date_added"))
+
+
 def broken_blocklist_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Block rows with spelling faults: composites, 'www.' forms, blanks, and good ones."""
     key, name = F.col("s_suppkey"), F.col("s_name")

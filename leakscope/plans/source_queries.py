@@ -56,6 +56,11 @@ def plain(df, *extra):
     return df.select(*cols, *extra)
 
 
+def saved_csv(spark, schema, path):
+    """A written CSV table with all its columns, typed; empty texts are quoted, nulls are not."""
+    return spark.read.option("header", True).option("nullValue", "\x01").schema(schema).csv(path)
+
+
 def csv_of(spark, df, name):
     path = fresh_path(spark, name)
     df.write.option("header", True).csv(path)
@@ -74,6 +79,13 @@ def read_delivery_export(spark, sf):
     return plain(X.read_delivery_export(spark, path))
 
 
+@query("read_delivery_export_site", f"""
+SELECT {_BASE} FROM delivery WHERE placement_type = 'site'""")
+def read_delivery_export_site(spark, sf):
+    path = csv_of(spark, S.site_export(spark, sf), "site-export")
+    return plain(X.read_delivery_export(spark, path))
+
+
 @query("read_creative_export", """
 SELECT date, client, creative, creative_id, campaign_id, click_url, impressions,
   CAST(spend AS DOUBLE) AS spend, q100, conversions FROM creative_feed""")
@@ -282,7 +294,25 @@ SELECT match_key, tab, value, date_added FROM (
   SELECT lower(trim(value)) AS match_key, tab, min(value) AS value, min(date_added) AS date_added
   FROM bl_rows GROUP BY 1, 2)""")
 def blocklist(spark, sf):
-    rows = S.blocklist_rows(spark, sf)
+    return read_blocklist(spark, written_tabs(
+        spark, S.blocklist_rows(spark, sf), ("All Products", "CTV", "Social Mirror")))
+
+
+@query("blocklist_dim_four_tabs", """
+SELECT lower(trim(value)) AS match_key, tab, min(value) AS value, min(date_added) AS date_added
+FROM (SELECT * FROM bl_rows UNION ALL
+  SELECT s_name, 'Audio', CASE WHEN s_suppkey % 3 = 0 THEN NULL
+    WHEN s_suppkey % 7 = 0 THEN DATE '2002-06-01'
+    ELSE DATE '1998-01-01' + CAST(s_suppkey AS INTEGER) END
+  FROM supplier WHERE s_suppkey % 4 = 3) GROUP BY 1, 2""")
+def blocklist_four_tabs(spark, sf):
+    rows = S.blocklist_rows(spark, sf).unionByName(S.audio_blocklist_rows(spark, sf))
+    return read_blocklist(spark, written_tabs(
+        spark, rows, ("All Products", "CTV", "Social Mirror", "Audio")))
+
+
+def written_tabs(spark, rows, tabs):
+    """Each tab of the block list as a sheet of its own, with the dates as that sheet has them."""
     sheet = F.concat(
         F.lit("Date("), F.year("date_added").cast("string"), F.lit(","),
         (F.month("date_added") - 1).cast("string"), F.lit(","),
@@ -292,7 +322,7 @@ def blocklist(spark, sf):
         F.date_format("date_added", "yyyy-MM-dd"))
     empty = F.lit("")
     paths = {}
-    for tab in ("All Products", "CTV", "Social Mirror"):
+    for tab in tabs:
         part = rows.filter(F.col("tab") == tab).select(
             F.lit("x").alias("a"), "value", empty.alias("c"), empty.alias("d"),
             F.coalesce(written, empty).alias("e"))
@@ -301,7 +331,7 @@ def blocklist(spark, sf):
             F.lit("Type").alias("c"), F.lit("Formatted").alias("d"), F.lit("Date added").alias("e"))
         paths[tab] = fresh_path(spark, "blocklist")
         header.unionByName(part).write.csv(paths[tab])
-    return read_blocklist(spark, paths)
+    return paths
 
 
 @query("buyer_dim", """
@@ -345,13 +375,28 @@ def sql_of(name):
 SELECT placement, placement_type, CAST(sum(impressions) AS BIGINT) AS impressions,
   strftime(max(served_date), '%Y-%m-%d') AS last_served FROM leak GROUP BY 1, 2""")
 def write_tables(spark, sf):
+    return both_copies(spark, sf, "offenders").select(
+        "placement", "placement_type", "impressions", "last_served")
+
+
+@query("write_tables_offenders", f"SELECT * FROM ({sql_of('leak_offenders')})")
+def write_tables_offenders(spark, sf):
+    return both_copies(spark, sf, "offenders")
+
+
+@query("write_tables_by_type", f"SELECT * FROM ({sql_of('leak_by_type')})")
+def write_tables_by_type(spark, sf):
+    return both_copies(spark, sf, "by_type")
+
+
+def both_copies(spark, sf, name):
+    """The CSV copy of a written table, and what the Parquet copy holds besides."""
     d = facts.delivery(spark, sf)
     root = fresh_path(spark, "tables")
     T.write_tables({"offenders": L.leak_offenders(d), "by_type": L.leak_by_type(d)}, root)
-    saved = spark.read.parquet(f"{root}/parquet/offenders")
-    typed = spark.read.option("header", True).schema(saved.schema).csv(f"{root}/csv/offenders")
-    return typed.select("placement", "placement_type", "impressions", "last_served").intersect(
-        saved.select("placement", "placement_type", "impressions", "last_served"))
+    saved = spark.read.parquet(f"{root}/parquet/{name}")
+    typed = saved_csv(spark, saved.schema, f"{root}/csv/{name}")
+    return typed.unionAll(saved.exceptAll(typed))
 
 
 @query("write_report_window", """
@@ -374,17 +419,37 @@ SELECT b.buyer, 'false' AS buyer_review, u.business_unit, CAST(u.impressions AS
 FROM units u JOIN buyers b USING (business_unit)
 WHERE u.impressions >= 10000 AND u.ctr > CAST(0.006 AS DOUBLE)""")
 def watchlist_export(spark, sf):
-    d = facts.delivery(spark, sf)
-    perf = V.perf_by_business_unit(facts.performance(spark, sf), tiers=SAMPLE_TIERS)
-    partners = I.partner_watchlist(
-        perf, d, B.blocklist_exposure_by_bu(d, key_blocklist(spark, sf)), buyers(spark, sf),
-        keys_of(spark, sf))
     root = fresh_path(spark, "watchlists")
-    T.watchlist_export({"partner": partners}, root)
+    T.watchlist_export(
+        {name: DELIVERY[of][0](spark, sf) for name, of in WATCHLISTS.items()}, root)
     saved = spark.read.option("header", True).csv(f"{root}/partner")
     return saved.select("buyer", "buyer_review", "business_unit", "impressions")
 
 
+# Watch lists and the queries whose rows they hold.
+WATCHLISTS = {
+    "partner": "partner_watchlist", "client": "client_watchlist",
+    "strategy": "strategy_watchlist", "low_ctr_sites": "low_ctr_account_blocked",
+    "clients_on_blocked": "clients_on_blocked",
+}
+
+
+def written_watchlist(spark, sf, name):
+    """A watch list as it is read back, with all its columns."""
+    rows = DELIVERY[WATCHLISTS[name]][0](spark, sf)
+    root = fresh_path(spark, "watchlists")
+    T.watchlist_export({name: rows}, root)
+    return saved_csv(spark, T.watchlist_columns(rows).schema, f"{root}/{name}")
+
+
+for _name, _of in WATCHLISTS.items():
+    _buyer = "''" if _of in ("low_ctr_account_blocked", "clients_on_blocked") else "buyer"
+    query(f"watchlist_export_{_name}", f"""
+SELECT {_buyer} AS buyer, false AS buyer_review,
+  COLUMNS(lambda c: c NOT IN ('buyer', 'buyer_review', 'flagged')) FROM ({sql_of(_of)})""")(
+        lambda spark, sf, n=_name: written_watchlist(spark, sf, n))
+
+
 @query("creative_findings_export", """
 SELECT 'blank_campaigns' AS finding, count(*) AS rows FROM blank_camps
 UNION ALL SELECT 'blank_rows', count(*) FROM checked WHERE blank_creative
@@ -406,6 +471,26 @@ def creative_findings_export(spark, sf):
     return out
 
 
+# Findings and the queries whose rows they hold.
+FINDINGS = {
+    "blank_campaigns": "blank_campaigns", "blank_rows": "blank_rows",
+    "winners": "creative_winners", "no_utm": "creative_check_rows_no_utm",
+}
+
+
+def written_finding(spark, sf, name):
+    """A finding as it is read back, with all its columns."""
+    rows = CREATIVE[FINDINGS[name]][0](spark, sf)
+    root = fresh_path(spark, "findings")
+    T.creative_findings_export({name: rows}, {}, root)
+    return saved_csv(spark, rows.schema, f"{root}/{name}")
+
+
+for _name, _of in FINDINGS.items():
+    query(f"creative_findings_export_{_name}", f"SELECT * FROM ({sql_of(_of)})")(
+        lambda spark, sf, n=_name: written_finding(spark, sf, n))
+
+
 @query("exclusion_table", """
 SELECT lower(value) AS value, CASE WHEN contains(value, 'https') THEN 'site' ELSE 'app' END AS kind
 FROM excl WHERE contains(value, 'https')""")
