@@ -239,6 +239,21 @@ def auto_low_ctr_site_blocks(
     )
 
 
+def low_ctr_site_products(delivery: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Every product a flagged site ran on: one row for each site and product.
+
+    `products` of the flags names known products only; `other_products` counts a site's others.
+    """
+    per = _site_groups(click_sites(delivery)).groupBy(
+        F.col("placement").alias("name"), "product").agg(
+        *sums("impressions", "clicks", "conversions", "spend"),
+    ).withColumn("is_known", F.col("product").isin(*K.PLACEMENT_PRODUCTS))
+    other = F.sum(F.when(F.col("is_known"), 0).otherwise(1)).over(Window.partitionBy("name"))
+    return per.join(flagged.select("name"), "name").select(
+        "name", "product", "is_known", "impressions", "clicks", "conversions",
+        money("spend").alias("spend"), other.alias("other_products"))
+
+
 def auto_high_ctr_site_blocks(
     delivery: DataFrame, handled: DataFrame | None = None, min_impr: int = 10000,
     ctr_multiple: float = 3.0, ctr_floor: float = 0.01,

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscope.functions import constants as K
 from leakscope.functions import labels
 from leakscope.functions.creative import keys_present, site_domain
 from leakscope.functions.constants import OTHER_TRACKING_KEYS, UTM_KEYS
@@ -281,6 +282,22 @@ def auto_low(spark, sf):
     return C.auto_low_ctr_site_blocks(d, C.handled_site_keys(d, key_blocklist(spark, sf)))
 
 
+@query("low_ctr_site_products", f"""
+SELECT *, CAST(sum(CASE WHEN is_known THEN 0 ELSE 1 END) OVER (PARTITION BY name) AS BIGINT)
+  AS other_products
+FROM (SELECT placement AS name, product, product IN {O.KNOWN} AS is_known,
+    {O.sums('impressions', 'clicks', 'conversions')}, CAST(sum(spend) AS DOUBLE) AS spend
+  FROM (SELECT * REPLACE (CASE WHEN CAST(campaign_id AS BIGINT) % 3 = 0 THEN 'Line item ' || dsp
+      ELSE product END AS product) FROM click_sites)
+  WHERE placement IN (SELECT name FROM auto_low) GROUP BY 1, 2, 3)""")
+def low_ctr_site_products(spark, sf):
+    clicked = ~F.col("product").isin(*K.NO_CLICK_PLACEMENT_PRODUCTS)
+    other = clicked & (F.col("campaign_id").cast("bigint") % 3 == 0)
+    d = facts.delivery(spark, sf).withColumn("product", F.when(
+        other, F.concat(F.lit("Line item "), F.col("dsp"))).otherwise(F.col("product")))
+    return C.low_ctr_site_products(d, auto_low(spark, sf))
+
+
 @query("auto_high_ctr_site_blocks", f"SELECT {_BLOCK} FROM auto_high")
 def auto_high(spark, sf):
     d = facts.delivery(spark, sf)

@@ -20,6 +20,20 @@ from leakscope.plans import facts
 from leakscope.sources.dimensions import blocklist_by_key
 
 DAY = dt.date(2026, 5, 1)
+
+
+def test_products_of_low_ctr_sites(spark):
+    given = [("a.com", "Display"), ("a.com", "Line 7"), ("b.com", "Line 7"), ("b.com", "Line 8")]
+    d = spark.createDataFrame(
+        [line(placement=p, product=x, impressions=9000, clicks=0) for p, x in given], DELIVERY)
+    flagged = C.auto_low_ctr_site_blocks(d)
+    assert {r["name"] for r in flagged.collect()} == {"a.com", "b.com"}
+    rows = C.low_ctr_site_products(d, flagged).collect()
+    assert sorted((r["name"], r["product"]) for r in rows) == sorted(given)
+    assert {(r["name"], r["other_products"]) for r in rows} == {("a.com", 1), ("b.com", 2)}
+    assert {r["product"] for r in rows if r["is_known"]} == {"Display"}
+
+
 DELIVERY = ("served_date date, business_unit string, client string, product string, "
             "strategy_type string, strategy_name string, campaign_id string, "
             "placement_type string, placement string, app_id string, dsp string, "
