@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.llm import (
+    conversation_repair,
     decontaminate,
     html_extract,
     minhash,
@@ -89,6 +90,29 @@ def op10_cross_polytope(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with the faults that their ids select, nulls as one blank."""
+    def filled(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fate = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    role, text = filled("role"), filled("text")
+    return rows.select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.translate(text, ".!?", "")).otherwise(text)
+        .alias("text"), fate.alias("fate"),
+    ).where("fate != 0").withColumn(
+        "copy", F.explode(F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2)))
+                          .otherwise(F.array(F.lit(1))))
+    ).drop("fate", "copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation after its damage: faults, cheapest repair, digest of what it gives."""
+    rows = table(spark, sf, "conversations")
+    return conversation_repair.repair_report(damaged(rows), rows.select("conv_id"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -129,5 +153,6 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_html_extract": (op9_html_extract, None),
     "op10_cross_polytope": (op10_cross_polytope, OP10_SQL),
+    "op11_conversation_repair": (op11_conversation_repair, None),
     "pipeline": (pipeline, None),
 }
