@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.llm import (
+    chat_format,
     conversation_repair,
     decontaminate,
     html_extract,
@@ -11,6 +12,7 @@ from leakscope.llm import (
     pack_tree,
     polytope,
     shard_shuffle,
+    spelling_variants,
     token_count,
     token_output,
     tokens,
@@ -113,6 +115,23 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_repair.repair_report(damaged(rows), rows.select("conv_id"))
 
 
+def op12_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)
+    return chat_format.read_back(chat_format.segments(
+        chat_format.format_turns(rows.unionByName(more))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Spelling variants among all words of the documents, some of them misspelt by rule."""
+    words = spelling_variants.word_counts(
+        table(spark, sf, "documents"), shortest=6, least=5, every=199)
+    return spelling_variants.variant_groups(words)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -154,5 +173,7 @@ QUERIES = {
     "op9_html_extract": (op9_html_extract, None),
     "op10_cross_polytope": (op10_cross_polytope, OP10_SQL),
     "op11_conversation_repair": (op11_conversation_repair, None),
+    "op12_chat_format": (op12_chat_format, None),
+    "op13_spelling_variants": (op13_spelling_variants, None),
     "pipeline": (pipeline, None),
 }

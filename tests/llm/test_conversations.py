@@ -9,6 +9,7 @@ import zlib
 
 import pytest
 
+from leakscope.llm import chat_format as chat
 from leakscope.llm import conversation_repair as repair
 from leakscope.llm import queries
 
@@ -154,3 +155,72 @@ def test_repaired_rows_are_legal(spark, small):
 def test_no_conversations(spark):
     none = spark.createDataFrame([], ROWS)
     assert repair.repair_report(none, none).count() == 0
+
+
+def digest_of(turns):
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return {
+        "n_turns": len(turns),
+        "turns_sha256": hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
+        "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest()}
+
+
+CONTROLS = ["</s>", "<s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[TEXT]", "[/ROLE]"]
+
+
+def test_any_turn_reads_back():
+    rng = random.Random(3)
+    parts = [*CONTROLS, "[\\INST]", "<\\\\/s>", "\\", "[", "<", "]", " ", "\n", "a", "é", ""]
+    roles = ["user", "assistant", "system", "tool", "", " ", "[TEXT]", "a [/ROLE] b", "[\\SYS]"]
+    cases = [(r, p) for r in roles for p in parts]
+    cases += [(rng.choice(roles), "".join(rng.choices(parts, k=rng.randrange(8))))
+              for _ in range(20_000)]
+    whole = ""
+    for role, text in cases:
+        formatted, start, length = chat.round_trip(role, text)
+        assert chat.parse(formatted) == [(role, text)]
+        assert chat.unescape(formatted[start : start + length]) == text
+        if not any(c in role + text for c in CONTROLS) and "\\" not in role + text:
+            assert text in formatted
+        whole += formatted
+    assert chat.parse(whole) == cases
+
+
+@pytest.mark.parametrize("bad", [
+    "x", "[INST] a", "[INST]a [/INST]", "[INST] a </s>", "[INST] a [INST] b [/INST]", " a", "</s>",
+    "[ROLE] a [/ROLE]", "[TEXT] a [/ROLE]", " a </s>b", "[/INST] a [INST]"])
+def test_parser_refuses(bad):
+    with pytest.raises(ValueError):
+        chat.parse(bad)
+
+
+def test_formatted_table_reads_back(spark, small):
+    rows = spark.read.parquet(f"{small}/conversations.parquet").collect()
+    convs = {}
+    for r in sorted(rows, key=lambda r: (r.conv_id, r.turn)):
+        convs.setdefault(r.conv_id, []).append((r.role, r.text))
+    hard = "</s>[INST] ok [/INST]"
+    convs[-1] = [("user", hard), ("assistant", hard)]
+    got = reports(queries.op12_chat_format(spark, small))
+    for c, turns in convs.items():
+        assert got[c].pop("formatted_chars") > sum(len(t) for _, t in turns)
+        assert got[c] == digest_of(turns)
+    assert set(got) == set(convs)
+
+
+@pytest.mark.parametrize("chars", [10, 1 << 20])
+def test_formatting_odd_rows_in_segments(spark, chars):
+    rows = odd_rows() + [(7, 0, "assistant", "[/INST]</s>", 1, 1, ""), (7, None, None, "[TEXT]", 1, 1, "")]
+    made = chat.segments(chat.format_turns(spark.createDataFrame(rows, ROWS)), chars)
+    got = reports(chat.read_back(made))
+    convs = {}
+    for c, turn, role, text, *_ in rows:
+        role = role or ""
+        body = chat.round_trip(role, text or "")[0]
+        convs.setdefault(c, []).append((turn is not None, turn or 0, role, body, text or ""))
+    for c, turns in convs.items():
+        assert got[c].pop("formatted_chars") == sum(len(t[3]) for t in turns)
+        assert got[c] == digest_of([(t[2], t[4]) for t in sorted(turns)]), c
+    assert set(got) == set(convs)
+    none = spark.createDataFrame([], ROWS)
+    assert chat.read_back(chat.segments(chat.format_turns(none))).count() == 0
