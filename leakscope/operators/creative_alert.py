@@ -4,17 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.text import grouped
-from leakscope.operators import creative_performance as P
-from leakscope.operators.creative_quality import (
-    alert_headline,
-    blank_campaigns,
-    creative_flags_grouped,
-    creative_summary,
-    is_alert,
-)
-from leakscope.operators.creative_sizes import size_type_counts
-from leakscope.operators.creative_utm import utm_summary
-from leakscope.operators.norms import one_row_total
+from leakscope.operators.creative_profile import summary_of, written_profile
+from leakscope.operators.creative_quality import alert_headline, campaign_blanks, is_alert
 
 
 def _entry(section: str, count: Column, text: Column) -> Column:
@@ -23,76 +14,62 @@ def _entry(section: str, count: Column, text: Column) -> Column:
     )
 
 
-def _counted(count: Column, tail: str) -> Column:
-    return F.concat(count.cast("string"), F.lit(" " + tail))
+def _counted(count: str, tail: str) -> Column:
+    return _entry("finding", F.col(count),
+                  F.concat(F.col(count).cast("string"), F.lit(" " + tail)))
 
 
-def creative_alert_rows(
-    creative: DataFrame, min_impressions: int = 1
-) -> DataFrame:
-    """Rows of the alert, with all affected campaigns (without a position: sinks order them); none when there is neither a blank name nor a critical finding."""
-    summary = creative_summary(creative, min_impressions)
-    perf = one_row_total(
-        P.performance_counts(creative),
-        **{c: F.first(c) for c in ("no_clicks", "fatigue", "single_creative", "laggards")},
-    )
-    sm = F.col("key") == "sm_display_size"
-    banner = one_row_total(
-        creative_flags_grouped(creative),
-        n=F.countDistinct(F.when(sm, F.col("creative"))),
-        impr=F.coalesce(F.sum(F.when(sm, F.col("impressions"))), F.lit(0)),
-    )
-    low_vcr = size_type_counts(creative).select("low_vcr").scalar()
-    has_urls = "click_url" in creative.columns
+def _entries(has_urls: bool) -> list[Column]:
+    """Headline and findings over the columns of a summary."""
+    banners, tagged = F.col("sm_display_size_creatives"), F.col("utm_tagged")
     entries = [
         _entry("headline", F.col("blank_rows"), alert_headline(
             F.concat(F.col("window_start"), F.lit(" → "), F.col("window_end")))),
-        _entry("finding", banner["n"], F.concat(
-            banner["n"].cast("string"),
+        _entry("finding", banners, F.concat(
+            banners.cast("string"),
             F.lit(" Social Mirror creative(s) named with a display banner size ("),
-            grouped(banner["impr"]),
+            grouped(F.col("banner_impressions")),
             F.lit(" impressions) — likely a display asset on a social line"))),
-        _entry("finding", perf["no_clicks"], _counted(
-            perf["no_clicks"], "creative(s) delivering with zero clicks")),
-        _entry("finding", perf["fatigue"], _counted(
-            perf["fatigue"], "creative(s) with CTR down sharply across the window")),
-        _entry("finding", perf["single_creative"], _counted(
-            perf["single_creative"],
-            "campaign(s) delivering on a single creative — no rotation")),
-        _entry("finding", perf["laggards"], _counted(
-            perf["laggards"], "creative(s) at or below ⅓ of their product's CTR norm")),
-        _entry("finding", F.col("missing_preview_creatives"), _counted(
-            F.col("missing_preview_creatives"),
-            "creative(s) with no preview image URL — can't be visually QA'd")),
+        _counted("perf_no_clicks", "creative(s) delivering with zero clicks"),
+        _counted("perf_fatigue", "creative(s) with CTR down sharply across the window"),
+        _counted("perf_single_creative",
+                 "campaign(s) delivering on a single creative — no rotation"),
+        _counted("perf_laggards", "creative(s) at or below ⅓ of their product's CTR norm"),
+        _counted("missing_preview_creatives",
+                 "creative(s) with no preview image URL — can't be visually QA'd"),
     ]
     if has_urls:
-        rows = utm_summary(creative)
+        n = F.col("utm_creatives")
+        share = F.when(n > 0, F.floor(tagged * F.lit(100.0) / n + F.lit(0.5)))
+        entries.append(_entry("finding", n, F.concat(
+            tagged.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" creatives ("),
+            share.cast("string"), F.lit("%) are running UTM codes — "),
+            F.col("utm_untagged").cast("string"), F.lit(" carry none, "),
+            F.col("utm_partial").cast("string"), F.lit(" are partially tagged"))))
+    entries.append(_counted("st_low_vcr", "video creative(s) below the completion-rate floor"))
+    return entries
 
-        def of(name):
-            return F.coalesce(F.sum(F.when(F.col("slice") == name, F.col("creatives"))), F.lit(0))
 
-        utm = one_row_total(
-            rows, tagged=of("tagged"), untagged=of("untagged"),
-            partial=of("partially_tagged"), no_url=of("no_url"),
-        )
-        n = utm["tagged"] + utm["untagged"] + utm["no_url"]
-        share = F.when(n > 0, F.floor(utm["tagged"] * F.lit(100.0) / n + F.lit(0.5)))
-        entries.append(_entry("finding", n, F.concat(
-            utm["tagged"].cast("string"), F.lit(" of "), n.cast("string"),
-            F.lit(" creatives ("), share.cast("string"),
-            F.lit("%) are running UTM codes — "), utm["untagged"].cast("string"),
-            F.lit(" carry none, "), utm["partial"].cast("string"),
-            F.lit(" are partially tagged"))))
-    entries.append(_entry("finding", low_vcr, _counted(
-        low_vcr, "video creative(s) below the completion-rate floor")))
-    due = summary.filter(is_alert())
-    lines = due.select(F.posexplode(F.array(*entries)).alias("position", "_e")).select(
-        "_e.section", "position", "_e.count", "_e.text"
-    ).filter((F.col("section") == "headline") | (F.col("count") > 0))
+def alert_of(prof: DataFrame, summary: DataFrame) -> DataFrame:
+    """Rows of the alert of a written profile and its `summary_of`."""
+    entries = _entries("click_url" in prof.columns)
+    lines = summary.filter(is_alert()).select(
+        F.posexplode(F.array(*entries)).alias("position", "_e")
+    ).select("_e.section", "position", "_e.count", "_e.text").filter(
+        (F.col("section") == "headline") | (F.col("count") > 0))
     ids = ["client", "product", "campaign", "campaign_id", "coverage"]
-    affected = blank_campaigns(creative).select(
+    affected = campaign_blanks(prof).select(
         F.lit("campaign").alias("section"), F.lit(None).cast("int").alias("position"),
         F.col("impressions").alias("count"),
         F.concat_ws(" | ", *[F.col(c) for c in ids]).alias("text"),
     )
     return lines.unionByName(affected)
+
+
+def creative_alert_rows(creative: DataFrame, min_impressions: int = 1) -> DataFrame:
+    """Rows of the alert, with all affected campaigns (without a position: sinks order them).
+
+    None when there is neither a blank name nor a critical finding.
+    """
+    prof = written_profile(creative)
+    return alert_of(prof, summary_of(prof, min_impressions))

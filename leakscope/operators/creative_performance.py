@@ -13,6 +13,7 @@ from leakscope.functions.ratios import cpm, ctr, money, ratio, total
 from leakscope.functions.text import date_or, text_in
 from leakscope.operators.creative_quality import named, present
 from leakscope.operators.norms import one_row_total, sums, with_norm
+from leakscope.operators.ranking import numbered
 
 ROSTER_KEYS = [
     "client", "business_unit", "product", "campaign", "campaign_id", "creative_id", "creative",
@@ -170,41 +171,8 @@ def duplicate_names(creative: DataFrame) -> DataFrame:
 
 
 def top_creatives(creative: DataFrame) -> DataFrame:
-    """The whole roster; a sink orders it by impressions."""
-    return creative_roster(creative)
-
-
-def performance_counts(creative: DataFrame, min_impr: int = 10000, noclick_impr: int = 5000,
-                       noconv_spend: float = 50.0) -> DataFrame:
-    """One row with the size of every family.
-
-    The families on the roster are conditional counts of one pass over it.
-    """
-    rated = rated_roster(creative)
-    big = clickable() & (F.col("impressions") >= min_impr)
-    quiet = clickable() & (F.col("clicks") == 0) & (F.col("impressions") >= noclick_impr)
-    idle = (F.col("conversions") == 0) & (F.col("spend") >= noconv_spend)
-
-    def spend_of(cond):
-        return F.coalesce(F.sum(F.when(cond, F.col("spend"))), F.lit(0.0))
-
-    def rows(df):
-        return df.agg(F.count("*")).scalar()
-
-    return rated.agg(
-        F.countDistinct("creative").alias("creatives"),
-        F.count("*").alias("creative_campaign_pairs"),
-        F.count_if(big & (F.col("x_over_norm") >= 3) & (F.col("clicks") > 0)).alias("winners"),
-        F.count_if(big & (F.col("x_over_norm") <= 1 / 3.0)).alias("laggards"),
-        F.count_if(quiet).alias("no_clicks"),
-        F.round(spend_of(quiet), 2).alias("no_clicks_spend"),
-        F.count_if(idle).alias("no_conv"), F.round(spend_of(idle), 2).alias("no_conv_spend"),
-    ).select(
-        "*",
-        rows(creative_fatigue(creative)).alias("fatigue"),
-        rows(single_creative_campaigns(creative, min_impr)).alias("single_creative"),
-        rows(dominant_creatives(creative, min_impr)).alias("dominant"),
-        rows(duplicate_names(creative)).alias("dupe_names"),
-    )
-
-
+    """The whole roster with each row's rank by impressions; ties go by the roster's keys."""
+    roster = creative_roster(creative)
+    order = [F.desc("impressions"), *[F.col(k) for k in present(creative, ROSTER_KEYS)]]
+    ranked = numbered(roster.withColumn("_all", F.lit(0)), ["_all"], order, "rank")
+    return ranked.withColumn("rank", F.col("rank") + 1).drop("_all")

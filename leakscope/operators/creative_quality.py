@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from leakscope.functions import constants as K
 from leakscope.functions.creative import sizes_in
 from leakscope.functions.names import blank_reason
-from leakscope.functions.ratios import money, ratio, total
+from leakscope.functions.ratios import money, total
 from leakscope.functions.text import date_or, fold, is_blank, strip
-from leakscope.operators.norms import one_row_total, sums
+from leakscope.operators.norms import sums
 
 CAMPAIGN_KEYS = [
     "client", "business_unit", "product", "campaign", "campaign_id", "campaign_pool_id",
@@ -107,9 +107,10 @@ def id_name_conflict(creative: DataFrame) -> DataFrame:
 def creative_checks(creative: DataFrame) -> DataFrame:
     """One row per check: rows, impressions and spend it concerns.
 
-    Rows are first summed over the texts that decide the checks, so names are matched against
-    the patterns once per creative and not once per day. All checks are then one conditional
-    aggregate whose single row is unfolded.
+    Trafficking checks also count the creatives they concern; for the others that is null. Rows
+    are first summed over the texts that decide the checks, so names are matched against the
+    patterns once per creative and not once per day, then over names. All checks are then one
+    conditional aggregate whose single row is unfolded.
     """
     row_checks = metric_checks()
     groups = creative.groupBy(*present(creative, _TEXT_KEYS)).agg(
@@ -119,9 +120,16 @@ def creative_checks(creative: DataFrame) -> DataFrame:
           for k, c in row_checks.items() for m in ("impressions", "spend")],
     )
     text = text_checks(creative.columns)
+    measures = ("rows", "impressions", "spend")
     marked = with_parts(groups).withColumns({f"is_{k}": c for k, c in text.items()})
+    per_name = marked.groupBy("creative").agg(
+        *[F.sum(F.when(F.col(f"is_{k}"), F.col(m))).alias(f"{k}_{m}")
+          for k in text for m in measures],
+        *[total(f"{k}_{m}") for k in row_checks for m in measures],
+        *[F.bool_or(f"is_{k}").alias(f"any_{k}") for k in GROUPED_CHECKS],
+    )
 
-    def finding(key, rows, impressions, spend):
+    def finding(key, rows, impressions, spend, creatives=None):
         label, severity = K.CREATIVE_CHECKS[key]
         return F.struct(
             F.lit(key).alias("key"), F.lit(label).alias("label"),
@@ -129,19 +137,15 @@ def creative_checks(creative: DataFrame) -> DataFrame:
             F.coalesce(rows, F.lit(0)).cast("bigint").alias("rows"),
             F.coalesce(impressions, F.lit(0)).cast("bigint").alias("impressions"),
             F.coalesce(spend, F.lit(0)).cast("double").alias("spend"),
+            (F.lit(None) if creatives is None else creatives).cast("bigint").alias("creatives"),
         )
 
-    def when_sum(key, column):
-        return F.sum(F.when(F.col(f"is_{key}"), F.col(column)))
-
     findings = [
-        finding(k, when_sum(k, "rows"), when_sum(k, "impressions"), when_sum(k, "spend"))
-        for k in text
-    ] + [
-        finding(k, F.sum(f"{k}_rows"), F.sum(f"{k}_impressions"), F.sum(f"{k}_spend"))
-        for k in row_checks
+        finding(k, *[F.sum(f"{k}_{m}") for m in measures],
+                F.count_if(f"any_{k}") if k in GROUPED_CHECKS else None)
+        for k in [*text, *row_checks]
     ]
-    checks = marked.agg(F.array(*findings).alias("f")).select(F.inline("f"))
+    checks = per_name.agg(F.array(*findings).alias("f")).select(F.inline("f"))
     if "creative_id" not in creative.columns:
         return checks
     usable = marked.filter(~F.col("is_blank_creative"))
@@ -164,15 +168,21 @@ def creative_check_rows(creative: DataFrame, key: str) -> DataFrame:
 
 
 def blank_campaigns(creative: DataFrame) -> DataFrame:
-    """Campaigns that carry blank creative names, with how much of them is affected.
+    """Campaigns that carry blank creative names, with how much of them is affected."""
+    return campaign_blanks(creative.withColumns(
+        {"rows": F.lit(1), "first": F.col("date"), "last": F.col("date")}))
+
+
+def campaign_blanks(groups: DataFrame) -> DataFrame:
+    """`blank_campaigns` of rows, or of sums of them, that hold rows, first and last day.
 
     One pass: all rows are summed per campaign and name, and blank and total figures come from
     the same aggregate. The issue mix has two possible members, so it is two flags.
     """
-    keys = present(creative, CAMPAIGN_KEYS)
-    per = creative.groupBy(*keys, "creative").agg(
-        F.count("*").alias("rows"), *sums("impressions", "clicks", "spend"),
-        F.min("date").alias("first"), F.max("date").alias("last"),
+    keys = present(groups, CAMPAIGN_KEYS)
+    per = groups.groupBy(*keys, "creative").agg(
+        total("rows"), *sums("impressions", "clicks", "spend"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
     ).withColumn("_issue", blank_reason(F.col("creative")))
     bad = F.col("_issue").isNotNull()
 
@@ -253,72 +263,8 @@ def missing_preview_by_creative(creative: DataFrame) -> DataFrame:
     )
 
 
-def creative_summary(creative: DataFrame, min_impressions: int = 1) -> DataFrame:
-    """One row: totals, blanks and their shares, features, window, issue counts and status."""
-    per = creative.groupBy("creative").agg(
-        F.count("*").alias("rows"), *sums("impressions", "spend"),
-        F.min("date").alias("first"), F.max("date").alias("last"),
-    ).withColumn("_issue", blank_reason(F.col("creative")))
-    bad = F.col("_issue").isNotNull()
-
-    def part(cond, c):
-        return F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
-
-    head = per.agg(
-        total("rows"), total("impressions"), money(total(F.col("spend"))).alias("spend"),
-        F.count_if(~bad).alias("creatives"),
-        F.date_format(F.min("first"), "yyyy-MM-dd").alias("window_start"),
-        F.date_format(F.max("last"), "yyyy-MM-dd").alias("window_end"),
-        part(bad, "rows").alias("blank_rows"),
-        part(F.col("_issue") == "empty", "rows").alias("blank_empty"),
-        part(F.col("_issue") == "placeholder", "rows").alias("blank_placeholder"),
-        part(bad, "impressions").alias("blank_impressions"),
-        money(part(bad, "spend")).alias("blank_spend"),
-        ratio(part(bad, "impressions"), F.sum("impressions")).alias("blank_impr_pct"),
-        ratio(part(bad, "spend"), F.sum("spend")).alias("blank_spend_pct"),
-    )
-    floor = max(min_impressions, 1)
-    campaigns = one_row_total(
-        blank_campaigns(creative),
-        n=F.count("*"), delivering=F.count_if(F.col("impressions") >= floor),
-        clients=F.countDistinct("client"),
-    )
-    found = creative_checks(creative)
-
-    def rows_of(cond):
-        return F.coalesce(F.sum(F.when(cond, F.col("rows"))), F.lit(0))
-
-    checks = one_row_total(
-        found,
-        all=total("rows", "x"), critical=rows_of(F.col("severity") == "critical"),
-        warn=rows_of(F.col("severity") == "warn"),
-    )
-    preview = (
-        missing_preview_by_creative(creative).agg(F.countDistinct("creative")).scalar()
-        if "preview_url" in creative.columns else F.lit(0)
-    )
-    status = F.when((campaigns["delivering"] > 0) | (checks["critical"] > 0), "fail").when(
-        (F.col("blank_rows") > 0) | (checks["warn"] > 0), "warn"
-    ).otherwise("clean")
-    features = {
-        "has_creative_id": "creative_id", "has_click_url": "click_url",
-        "has_preview_url": "preview_url", "has_quartiles": "q25",
-        "has_creative_size": "creative_size", "has_creative_type": "creative_type",
-    }
-    return head.select(
-        "*",
-        *[F.lit(c in creative.columns).alias(k) for k, c in features.items()],
-        campaigns["n"].alias("blank_campaigns"),
-        campaigns["delivering"].alias("blank_campaigns_delivering"),
-        campaigns["clients"].alias("blank_clients"),
-        preview.alias("missing_preview_creatives"),
-        checks["all"].alias("issues"), checks["critical"].alias("critical_issues"),
-        status.alias("status"),
-    )
-
-
 def alert_headline(label: Column | None = None) -> Column:
-    """Headline of an alert from the columns of `creative_summary`."""
+    """Headline of an alert from the columns of a creative summary."""
     tail = F.concat(F.lit(" — "), label) if label is not None else F.lit("")
 
     def text(before, count, after):

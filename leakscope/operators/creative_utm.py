@@ -1,6 +1,6 @@
 """URL tagging of creatives: what is tagged, how, and how much delivery it carries."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions import constants as K
@@ -35,6 +35,14 @@ def utm_by_placement(creative: DataFrame) -> DataFrame:
     return rows.withColumns({"spend": money("spend"), "ctr": ctr()})
 
 
+def creative_key(keys: list[str]) -> Column:
+    """What counts as one creative: its id, or its name where the id is blank or absent."""
+    if "creative_id" not in keys:
+        return F.col("creative")
+    return F.when(is_blank(F.col("creative_id")), F.col("creative")).otherwise(
+        F.col("creative_id"))
+
+
 def utm_per_creative(creative: DataFrame) -> DataFrame:
     """One verdict per creative, from the URL of its placement with the most impressions.
 
@@ -42,16 +50,11 @@ def utm_per_creative(creative: DataFrame) -> DataFrame:
     """
     keys = present(creative, PLACEMENT_KEYS)
     placements = _placements(creative)
-    key = F.col("creative")
-    if "creative_id" in keys:
-        key = F.when(is_blank(F.col("creative_id")), F.col("creative")).otherwise(
-            F.col("creative_id")
-        )
     ties = [F.coalesce(F.col(k), F.lit("")).alias(f"k_{k}") for k in keys]
     top = F.max_by(
         F.struct("creative", "client", "product", "url"), F.struct("impressions", *ties)
     )
-    g = placements.groupBy(key.alias("creative_key")).agg(
+    g = placements.groupBy(creative_key(keys).alias("creative_key")).agg(
         top.alias("_top"),
         F.countDistinct(F.when(F.col("url") != "", F.col("url"))).alias("distinct_urls"),
         F.countDistinct("campaign_id").alias("campaigns"),
@@ -101,6 +104,17 @@ def utm_summary(creative: DataFrame) -> DataFrame:
     return rows.agg(F.array(*entries).alias("s")).select(F.inline("s"))
 
 
+def utm_totals(creative: DataFrame) -> DataFrame:
+    """One row: creatives, their placements, and whether a creative is its id or its name."""
+    keys = present(creative, PLACEMENT_KEYS)
+    placements = named(creative).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    per = placements.groupBy(creative_key(keys).alias("_key")).agg(F.count("*").alias("_n"))
+    basis = "creative ID" if "creative_id" in keys else "creative name"
+    return per.agg(
+        F.count("*").alias("creatives"), total("_n", "placements")
+    ).withColumn("id_basis", F.lit(basis))
+
+
 def utm_params(creative: DataFrame) -> DataFrame:
     """Use of each parameter by creatives; keys are exact, not parts of longer ones."""
     rows = utm_per_creative(creative)

@@ -1,6 +1,6 @@
 """Review queue, verdicts, and the merged list of recommended blocks."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions import constants as K
@@ -9,40 +9,28 @@ from leakscope.functions.names import category_flag, is_streaming_platform
 from leakscope.functions.ratios import cpm, ctr, total
 from leakscope.functions.text import fold, text_in
 from leakscope.operators.candidates import BLOCK_COLUMNS
+from leakscope.operators.ranking import numbered
 
 MERGED_COLUMNS = [c for c in BLOCK_COLUMNS if c != "conversions"]
 
 
-# Ranges of impressions that double this many times as finely are numbered on their own.
-STEPS_PER_DOUBLING = 256
-
-
 def review_queue(candidates: dict[str, DataFrame], batch_size: int = 50) -> DataFrame:
     """All candidates of each kind, numbered in batches from the largest down.
 
-    A candidate's number is its place in its range of impressions plus the rows of the ranges
-    above: ranges are numbered in parallel, and only their counts, of which there are at most
-    64 * `STEPS_PER_DOUBLING`, are summed up in order.
+    Places are exact and are worked out over ranges of the whole order (impressions, then app id
+    and name), so any number of candidates with equal impressions spreads over tasks.
     """
     out = None
     for kind, df in candidates.items():
         rows = df.withColumn("kind", F.lit(kind))
         out = rows if out is None else out.unionByName(rows)
-    size = F.log2(F.greatest(F.col("impressions"), F.lit(0)) + F.lit(1.0))
-    out = out.withColumn("_range", F.floor(size * STEPS_PER_DOUBLING).cast("int"))
-    above = Window.partitionBy("kind").orderBy(F.desc("_range")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    counts = out.groupBy("kind", "_range").agg(F.count("*").alias("_n")).select(
-        "kind", "_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    within = Window.partitionBy("kind", "_range").orderBy(F.desc("impressions"), "app_id", "name")
-    at = F.col("_above") + F.row_number().over(within) - 1
-    numbered = out.join(counts, ["kind", "_range"]).withColumn("_at", at)
-    return numbered.withColumns(
+    order = [F.desc("impressions"), F.col("app_id"), F.col("name")]
+    return numbered(out, ["kind"], order, "_at").withColumns(
         {
             "batch": F.floor(F.col("_at") / batch_size).cast("int"),
             "line": (F.col("_at") % batch_size + 1).cast("int"),
         }
-    ).drop("_at", "_above", "_range")
+    ).drop("_at")
 
 
 def apply_verdicts(queue: DataFrame, verdicts: DataFrame) -> DataFrame:

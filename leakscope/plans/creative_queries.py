@@ -2,6 +2,7 @@
 
 from leakscope.functions import constants as K
 from leakscope.operators import creative_performance as P
+from leakscope.operators import creative_profile as R
 from leakscope.operators import creative_quality as Q
 from leakscope.operators import creative_sizes as Z
 from leakscope.operators import creative_utm as U
@@ -92,8 +93,9 @@ FROM (SELECT *, coalesce({SIZE}, '') AS sizes, lower(product) = 'social mirror'
 C["named_rows"] = "SELECT * FROM checked WHERE issue IS NULL"
 C["check_counts"] = " UNION ALL ".join(
     f"SELECT '{k}' AS key, '{label.replace(chr(39), chr(39) * 2)}' AS label, "
-    f"'{severity}' AS severity, count(*) AS rows, {O.sums('impressions', 'spend')} "
-    f"FROM checked WHERE {k}"
+    f"'{severity}' AS severity, count(*) AS rows, {O.sums('impressions', 'spend')}, "
+    f"{'count(DISTINCT creative)' if k in Q.GROUPED_CHECKS else 'CAST(NULL AS BIGINT)'} "
+    f"AS creatives FROM checked WHERE {k}"
     for k, (label, severity) in K.CREATIVE_CHECKS.items()
 )
 _CAMPAIGN = ", ".join(Q.CAMPAIGN_KEYS)
@@ -276,6 +278,14 @@ SELECT count(DISTINCT creative) AS creatives, count(*) AS creative_campaign_pair
   (SELECT count(*) FROM dominants) AS dominant, (SELECT count(*) FROM dupes) AS dupe_names
 FROM roster
 """
+_PERF = ", ".join(f"(SELECT {c} FROM perf_counts) AS perf_{c}" for c in R.COUNTS)
+_SIZES = ", ".join(f"(SELECT {c} FROM size_counts) AS st_{c}" for c in R.SIZE_COUNTS)
+
+
+def _slice(name, c="creatives"):
+    return f"(SELECT {c} FROM utm_slices WHERE slice = '{name}')"
+
+
 C["feed_summary"] = f"""
 SELECT count(*) AS rows, {O.n('impressions')} AS impressions, {O.money('spend')} AS spend,
   count(DISTINCT creative) FILTER (WHERE issue IS NULL) AS creatives,
@@ -297,7 +307,14 @@ SELECT count(*) AS rows, {O.n('impressions')} AS impressions, {O.money('spend')}
   CASE WHEN (SELECT count(*) FROM blank_camps) > 0
     OR (SELECT sum(rows) FROM check_counts WHERE severity = 'critical') > 0 THEN 'fail'
     WHEN (SELECT sum(rows) FROM check_counts WHERE severity = 'warn') > 0 THEN 'warn'
-    ELSE 'clean' END AS status
+    ELSE 'clean' END AS status,
+  (SELECT count(DISTINCT creative) FROM checked WHERE sm_display_size)
+    AS sm_display_size_creatives, {_PERF}, {_SIZES},
+  (SELECT count(*) FROM tagged_creatives) AS utm_creatives, {_slice('tagged')} AS utm_tagged,
+  CAST({_slice('tagged')} AS DOUBLE) / (SELECT count(*) FROM tagged_creatives) AS utm_tagged_pct,
+  {_slice('fully_tagged')} AS utm_fully_tagged, {_slice('partially_tagged')} AS utm_partial,
+  {_slice('untagged')} AS utm_untagged, {_slice('no_url')} AS utm_no_url,
+  {_slice('tagged', 'impr_pct')} AS utm_tagged_impr_pct
 FROM checked
 """
 C["grouped_flags"] = " UNION ALL ".join(
@@ -385,7 +402,7 @@ SELECT creative_id, count(DISTINCT creative) AS names, count(*) AS rows,
 add("missing_preview_by_creative", Q.missing_preview_by_creative, f"""
 SELECT {', '.join(Q.CREATIVE_KEYS)}, count(*) AS days, {O.sums('impressions', 'clicks', 'spend')}
 FROM checked WHERE missing_preview GROUP BY ALL""")
-add("creative_summary", Q.creative_summary, "SELECT * FROM feed_summary")
+add("creative_summary", R.creative_summary, "SELECT * FROM feed_summary")
 add("creative_roster", P.creative_roster, "SELECT * FROM roster")
 add("product_norms", P.product_norms, f"""
 SELECT product, {O.ratio('sum(clicks)', 'sum(impressions)')} AS ctr, {O.sums('impressions')}
@@ -399,12 +416,15 @@ add("single_creative_campaigns", P.single_creative_campaigns, f"""
 SELECT *, {O.CTR} AS ctr FROM camps WHERE creatives = 1 AND impressions >= 10000""")
 add("dominant_creatives", P.dominant_creatives, "SELECT * FROM dominants")
 add("duplicate_names", P.duplicate_names, "SELECT * FROM dupes")
-add("top_creatives", P.top_creatives,
-    "SELECT * FROM roster")
-add("performance_counts", P.performance_counts, "SELECT * FROM perf_counts")
+add("top_creatives", P.top_creatives, f"""
+SELECT *, row_number() OVER (ORDER BY impressions DESC, {_ROSTER}) AS rank FROM roster""")
+add("performance_counts", R.performance_counts, "SELECT * FROM perf_counts")
 add("utm_by_placement", U.utm_by_placement, "SELECT * FROM tagged_placements")
 add("utm_per_creative", U.utm_per_creative, "SELECT * FROM tagged_creatives")
 add("utm_summary", U.utm_summary, "SELECT * FROM utm_slices")
+add("utm_totals", U.utm_totals, """
+SELECT (SELECT count(*) FROM tagged_creatives) AS creatives, count(*) AS placements,
+  'creative ID' AS id_basis FROM url_placements""")
 add("utm_params", U.utm_params, f"""
 SELECT parameter, count(*) AS creatives, {O.sums('impressions')},
   CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM tagged_creatives) AS pct_of_creatives

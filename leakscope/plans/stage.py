@@ -4,20 +4,13 @@ Candidates and recommendations feed many tables. Writing them cuts their lineage
 scan a small file instead of repeating every scan behind it, and a lost executor costs a re-read.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from leakscope.session import shared_dir
+from leakscope.lineage import fresh_path
 
 _written: dict[tuple, str] = {}
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, for output that belongs to one run."""
-    return f"{shared_dir(spark)}/leakscope/{name}-{uuid.uuid4().hex}"
-
-
 def staged(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """The named table over the given input, built at its first use in this application."""
     key = (spark.sparkContext.applicationId, sf, name)

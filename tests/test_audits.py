@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.operators import blocklist as B
 from leakscope.operators import candidates as C
 from leakscope.operators import creative_performance as P
+from leakscope.operators import creative_profile as S
 from leakscope.operators import creative_quality as Q
 from leakscope.operators import creative_sizes as Z
 from leakscope.operators import creative_utm as U
@@ -208,13 +209,13 @@ def test_checks_without_optional_columns(spark):
     got = by(Q.creative_checks(f), "key")
     assert "no_utm" not in got and "id_name_conflict" not in got
     assert got["blank_creative"].rows == 1 and got["format_mismatch"].rows == 1
-    assert Q.creative_summary(f).first().status == "fail"
+    assert S.creative_summary(f).first().status == "fail"
 
 
 def test_clean_feed_raises_no_alert(spark):
     f = feed(spark, dict(), dict(date=DAY + dt.timedelta(days=1))).withColumns(
         {q: F.lit(0) for q in ("q25", "q50", "q75", "q100")})
-    assert Q.creative_summary(f).first().critical_issues == 0
+    assert S.creative_summary(f).first().critical_issues == 0
     assert creative_alert_rows(f).count() == 0
 
 
