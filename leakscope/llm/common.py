@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscope.llm import memory
 from leakscope.session import shared_dir
 
 # Up to so many rows of ids or hashes (16 bytes each) a join side may be broadcast.
@@ -36,8 +37,25 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """`df.mapInArrow(run, schema)`, with this package's code sent to the executors once."""
+def _bounded(run):
+    """`run` over slices of the batches, with the worker's memory looked after."""
+    name = f"{run.__module__}.{run.__qualname__}"
+
+    def bounded(batches):
+        memory.enter(name)
+        try:
+            yield from run(memory.sliced(batches))
+        finally:
+            memory.release()
+
+    return bounded
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow(run, schema)`, with this package's code sent to the executors once.
+
+    `run` gets batches of a bounded number of bytes, unless a single row is longer.
+    """
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
@@ -45,7 +63,7 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
             f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_bounded(run), schema)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

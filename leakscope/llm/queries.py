@@ -71,7 +71,8 @@ def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
 def op7_token_output(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as packed token-id matrices."""
     return token_output.packed_sequences(
-        table(spark, sf, "documents"), tokens.vocabulary(tokens.BYTE_VOCABULARY), END_OF_TEXT)
+        table(spark, sf, "documents"), tokens.vocabulary(tokens.BYTE_VOCABULARY),
+        tokens.vocabulary(tokens.BYTE_RANKS), END_OF_TEXT)
 
 
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:

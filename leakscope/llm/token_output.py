@@ -70,40 +70,52 @@ def fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def _packer(path: str, capacity: int, end_id: int, pad_id: int, code: str, block: int):
-    size = {"H": 2, "I": 4}[code]
+def _packer(path: str, ranks: str, capacity: int, end_id: int, pad_id: int, code: str, block: int):
+    kind = np.dtype({"H": "<u2", "I": "<u4"}[code])
 
     def rows_of(pieces, number):
-        placed = fit([len(p[2]) // size for p in pieces], capacity)
-        pad = pad_id.to_bytes(size, "little")
-        columns = [[] for _ in range(7)]
-        for row in placed:
-            parts = [pieces[i] for i in row]
-            lengths = [len(p[2]) // size for p in parts]
-            n = sum(lengths)
-            for column, value in zip(columns, (
-                number, n, len(parts), b"".join(p[2] for p in parts) + pad * (capacity - n),
-                [0, *np.cumsum(lengths).tolist()], [p[1] for p in parts], [p[0] for p in parts],
-            )):
-                column.append(value)
-            number += 1
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()),
-                 pa.list_(pa.int64()), pa.list_(pa.int64())]
-        for a in range(0, len(placed), 2000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[a : a + 2000], k) for c, k in zip(columns, kinds)],
-                names=[f.split()[0] for f in SCHEMA.split(", ")])
+        """Rows of the matrix from pieces (document, place in it, ids)."""
+        placed = fit([len(p[2]) for p in pieces], capacity)
+        for a in range(0, len(placed), 1000):
+            part = placed[a : a + 1000]
+            order = [i for row in part for i in row]
+            lengths = np.array([len(pieces[i][2]) for i in order], np.int64)
+            counts = np.array([len(row) for row in part], np.int64)
+            rows = np.repeat(np.arange(len(part)), counts)
+            # where each piece begins in its row, and where each row's segments begin in the list
+            ends = np.cumsum(lengths)
+            first = np.concatenate([[0], np.cumsum(counts)])
+            filled = np.add.reduceat(lengths, first[:-1])
+            starts = ends - lengths - (ends - lengths)[first[:-1]][rows]
+            matrix = np.full((len(part), capacity), pad_id, kind)
+            for i, row, start in zip(order, rows.tolist(), starts.tolist()):
+                matrix[row, start : start + len(pieces[i][2])] = pieces[i][2]
+            cumulative = np.insert(starts, first[1:], filled).astype(np.int32)
+            segments = pa.array(first, pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(number + a, number + a + len(part))),
+                pa.array(filled.astype(np.int32)), pa.array(counts.astype(np.int32)),
+                pa.Array.from_buffers(pa.binary(), len(part), [
+                    None, pa.py_buffer((np.arange(len(part) + 1) * capacity * kind.itemsize)
+                                       .astype(np.int32)), pa.py_buffer(matrix)]),
+                pa.ListArray.from_arrays(
+                    pa.array((first + np.arange(len(first))).astype(np.int32)),
+                    pa.array(cumulative)),
+                pa.ListArray.from_arrays(
+                    segments, pa.array([pieces[i][1] for i in order], pa.int64())),
+                pa.ListArray.from_arrays(
+                    segments, pa.array([pieces[i][0] for i in order], pa.int64())),
+            ], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     def run(batches):
-        units = tokens.units(path, True, code)
-        end = end_id.to_bytes(size, "little")
+        encoder = tokens.ranks(ranks, path)
         number, pieces, held = TaskContext.get().partitionId() << 40, [], 0
         for (ids,), texts in tokens.parts(batches):
-            for doc, data in zip(ids, units.of(texts)):
-                data += end
-                for a in range(0, len(data), size * capacity):
-                    pieces.append((doc, a // size, data[a : a + size * capacity]))
-                held += len(data) // size
+            for doc, text in zip(ids, texts):
+                data = np.append(encoder.of(text).astype(kind), kind.type(end_id))
+                for a in range(0, len(data), capacity):
+                    pieces.append((doc, a, data[a : a + capacity]))
+                held += len(data)
             if held >= block:
                 yield from rows_of(pieces, number)
                 number, pieces, held = number + len(pieces), [], 0
@@ -113,21 +125,25 @@ def _packer(path: str, capacity: int, end_id: int, pad_id: int, code: str, block
     return run
 
 
-def packed_sequences(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY,
-                     pad_id: int = 0, code: str = "H", block: int = BLOCK_TOKENS) -> DataFrame:
+def packed_sequences(docs: DataFrame, path: str, ranks: str, end_id: int,
+                     capacity: int = CAPACITY, pad_id: int = 0, code: str = "H",
+                     block: int = BLOCK_TOKENS) -> DataFrame:
     """One row for each row of the id matrix.
 
+    `path` and `ranks` are one vocabulary as a file of each tokenizer library.
+
     ids: `capacity` little-endian unsigned ids (`code` H: 16 bits, I: 32 bits), padded with
     `pad_id`. cu_seqlens: where segments begin, and the filled length at the end. position_starts:
     the position in its document at which each segment begins (0: positions restart; a document
     longer than a row goes on in several segments without loss). doc_ids: document of each segment.
 
     Every document, null and empty texts included, ends in `end_id`, so none is lost. A null
-    doc_id stays null. Repeated rows are packed each; other columns are ignored.
+    doc_id stays null. Repeated rows are packed each; other columns are ignored; an empty table
+    gives no rows.
     """
     return mapped(
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
-        _packer(path, capacity, end_id, pad_id, code, block), SCHEMA)
+        _packer(path, ranks, capacity, end_id, pad_id, code, block), SCHEMA)
 
 
 def write_sequences(sequences: DataFrame, path: str) -> None:

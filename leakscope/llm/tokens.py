@@ -14,6 +14,8 @@ from collections import Counter
 
 import numpy as np
 
+from leakscope.llm import memory
+
 # Units that a generation holds; the last two generations are kept.
 KEPT_UNITS = 200_000
 LONG_UNIT = 200
@@ -33,8 +35,10 @@ _WITH_BLANK = re.compile(
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 _units: dict = {}
+memory.store(_units.clear)
 
 
 def vocabulary(name: str) -> str:
@@ -157,5 +161,52 @@ def parts(batches, chunk: int = 4 << 20):
                 at, size = i + 1, 0
 
 
+# Characters of a pre-token from which a text is left to the library whose merges take no square time.
+LONG_TOKEN = 1000
+
+
+def has_long_token(text: str) -> bool:
+    """Whether a stretch without blanks, or possibly one of blanks only, is so long."""
+    lengths = list(map(len, text.split()))
+    blanks = len(text) - sum(lengths) - len(lengths)
+    return blanks >= LONG_TOKEN or max(lengths, default=0) >= LONG_TOKEN
+
+
+class Ranks:
+    """Ids of whole texts by a vocabulary that is given both as ranks and as a tokenizer file.
+
+    Both give the same ids; special strings in a text are special tokens in both.
+    """
+
+    def __init__(self, ranks: str, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding(
+            path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges,
+            special_tokens={t.content: i for i, t in
+                            self.tokenizer.get_added_tokens_decoder().items()})
+
+    def of(self, text: str) -> np.ndarray:
+        if has_long_token(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.encoding.encode_to_numpy(text, allowed_special="all")
+
+
+def ranks(ranks_path: str, path: str) -> Ranks:
+    """The encoder that this Python process keeps for a vocabulary."""
+    key = (ranks_path, path)
+    if key not in _units:
+        _units[key] = Ranks(*key)
+    return _units[key]
+
+
 def as_ids(data: bytes, code: str) -> np.ndarray:
     return np.frombuffer(data, {"H": "<u2", "I": "<u4"}[code])

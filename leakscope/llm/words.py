@@ -5,6 +5,8 @@ A word is a run of bytes other than blank and the controls 9 to 13; A-Z count as
 
 import numpy as np
 
+from leakscope.llm import memory
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -17,6 +19,7 @@ SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
+memory.store(_powers.clear)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

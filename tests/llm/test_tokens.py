@@ -11,6 +11,7 @@ from leakscope.llm import pack_tree, token_count, token_output, tokens
 
 WORD = tokens.vocabulary(tokens.WORD_VOCABULARY)
 BYTE = tokens.vocabulary(tokens.BYTE_VOCABULARY)
+RANKS = tokens.vocabulary(tokens.BYTE_RANKS)
 
 ODD = ["", "a  b \n c\n\n d", "x <|endoftext|> y", "\u00dcn\u00ef \u00b9\u00b2 \u00bd x_y 12345 \u0391\u03a3 \u00c0\u00c9 \u0130x",
        "a\x1cb", "\u4e2d\u6587 \u5b57 e\u0301 \ufb01  x", "it's I'LL DON'T '' '", "\x00\x01 a\x7f\u0085b c", "   ",
@@ -103,6 +104,13 @@ def test_best_fit_fills_the_least_room():
     assert bins[0] == bins[3] != bins[1] and bins[4] == bins[5] and offsets[2] == 9
 
 
+def test_ranks_equal_the_tokenizer(docs):
+    texts = ODD + ["a" * 999 + " " * 1500 + "b", " \t" * 900, "x " * 3000] + [
+        r["text"] for r in docs.limit(150).collect()]
+    encoder = tokens.Ranks(RANKS, BYTE)
+    assert [encoder.of(t).tolist() for t in texts] == ids_of(BYTE, texts)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_segment_tree_equals_scan(seed):
     rng = np.random.default_rng(seed)
@@ -115,7 +123,7 @@ def test_segment_tree_equals_scan(seed):
 
 def test_sequences_round_trip(spark, docs, odd_docs, no_docs, tmp_path):
     for df, block in ((docs.limit(200), 20_000), (odd_docs, 8_000_000)):
-        rows = token_output.packed_sequences(df, BYTE, 50256, block=block)
+        rows = token_output.packed_sequences(df, BYTE, RANKS, 50256, block=block)
         token_output.write_sequences(rows, str(tmp_path / f"s{block}"))
         rows = spark.read.parquet(str(tmp_path / f"s{block}")).collect()
         pieces = []
@@ -139,4 +147,4 @@ def test_sequences_round_trip(spark, docs, odd_docs, no_docs, tmp_path):
         for doc, x in want:
             together[doc] += x
         assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in together.items()}
-    assert token_output.packed_sequences(no_docs, BYTE, 50256).count() == 0
+    assert token_output.packed_sequences(no_docs, BYTE, RANKS, 50256).count() == 0
