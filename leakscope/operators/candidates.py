@@ -248,10 +248,13 @@ def low_ctr_site_products(delivery: DataFrame, flagged: DataFrame) -> DataFrame:
         F.col("placement").alias("name"), "product").agg(
         *sums("impressions", "clicks", "conversions", "spend"),
     ).withColumn("is_known", F.col("product").isin(*K.PLACEMENT_PRODUCTS))
-    other = F.sum(F.when(F.col("is_known"), 0).otherwise(1)).over(Window.partitionBy("name"))
-    return per.join(flagged.select("name"), "name").select(
+    of_flagged = per.join(flagged.select("name"), "name")
+    # partial sums in the map tasks, so a site with very many product values is no single task
+    others = of_flagged.groupBy(F.col("name").alias("_site")).agg(
+        F.count_if(~F.col("is_known")).alias("other_products"))
+    return of_flagged.join(others, F.col("name") == F.col("_site")).select(
         "name", "product", "is_known", "impressions", "clicks", "conversions",
-        money("spend").alias("spend"), other.alias("other_products"))
+        money("spend").alias("spend"), "other_products")
 
 
 def auto_high_ctr_site_blocks(

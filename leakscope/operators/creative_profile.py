@@ -20,7 +20,7 @@ from leakscope.operators import creative_performance as P
 from leakscope.operators import creative_quality as Q
 from leakscope.operators.creative_sizes import sized, video_completion
 from leakscope.operators.creative_utm import slices, utm_per_creative
-from leakscope.operators.norms import one_row_total, with_norm
+from leakscope.operators.norms import with_norm
 
 PROFILE_KEYS = [
     "client", "business_unit", "product", "campaign", "campaign_id", "campaign_pool_id",
@@ -63,12 +63,12 @@ def profile(rows: DataFrame) -> DataFrame:
 
     Early is the first half of the window of named rows; rows without a date are late.
     """
-    ends = one_row_total(Q.named(rows), lo=F.min("date"), hi=F.max("date"))
-    span = F.datediff(ends["hi"], ends["lo"])
-    early = F.coalesce(F.datediff(F.col("date"), ends["lo"]) * 2 <= span, F.lit(False))
-    return rows.groupBy(*Q.present(rows, PROFILE_KEYS)).agg(
+    span = F.datediff(F.max("date"), F.min("date"))
+    middle = Q.named(rows).agg(F.date_add(F.min("date"), F.floor(span / 2).cast("int"))).scalar()
+    marked = rows.withColumn("_early", F.coalesce(F.col("date") <= middle, F.lit(False)))
+    return marked.groupBy(*Q.present(rows, PROFILE_KEYS)).agg(
         *_sums(rows), F.min("date").alias("first"), F.max("date").alias("last"),
-        *[F.coalesce(F.sum(F.when(early, F.col(m))), F.lit(0)).alias(f"early_{m}")
+        *[F.coalesce(F.sum(F.when(F.col("_early"), F.col(m))), F.lit(0)).alias(f"early_{m}")
           for m in ("impressions", "clicks")])
 
 

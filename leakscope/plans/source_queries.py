@@ -167,8 +167,9 @@ WHERE rn = 1
 """
 
 
-def _pooled(df):
+def _pooled(df, *more):
     return df.select(
+        *more,
         F.col("`Campaign ID`").alias("campaign_id"), F.col("`Strategy Name`").alias("line"),
         "file_date", F.col("Impressions").alias("impressions"),
         F.col("`Billable Spend`").cast("double").alias("spend"))
@@ -438,15 +439,19 @@ def written_watchlist(spark, sf, name):
     """A watch list as it is read back, with all its columns."""
     rows = DELIVERY[WATCHLISTS[name]][0](spark, sf)
     root = fresh_path(spark, "watchlists")
-    T.watchlist_export({name: rows}, root)
-    return saved_csv(spark, T.watchlist_columns(rows).schema, f"{root}/{name}")
+    T.watchlist_export({name: rows}, root, buyers(spark, sf))
+    return saved_csv(
+        spark, T.watchlist_columns(rows, buyers(spark, sf)).schema, f"{root}/{name}")
 
 
 for _name, _of in WATCHLISTS.items():
-    _buyer = "''" if _of in ("low_ctr_account_blocked", "clients_on_blocked") else "buyer"
+    _rows = f"({sql_of(_of)})"
+    if _of in ("low_ctr_account_blocked", "clients_on_blocked"):
+        _rows = (f"(SELECT w.*, coalesce(b.buyer, '') AS buyer FROM {_rows} w "
+                 "LEFT JOIN buyers b USING (business_unit))")
     query(f"watchlist_export_{_name}", f"""
-SELECT {_buyer} AS buyer, false AS buyer_review,
-  COLUMNS(lambda c: c NOT IN ('buyer', 'buyer_review', 'flagged')) FROM ({sql_of(_of)})""")(
+SELECT buyer, false AS buyer_review,
+  COLUMNS(lambda c: c NOT IN ('buyer', 'buyer_review', 'flagged')) FROM {_rows}""")(
         lambda spark, sf, n=_name: written_watchlist(spark, sf, n))
 
 
@@ -522,27 +527,59 @@ def serving_block_export(spark, sf):
 # --- streams --------------------------------------------------------------------------------
 
 
-@query("incremental_pool", _NEWEST)
+# The delivery date of a line: the week in which its order was placed.
+_POOLED_WEEKS = """
+SELECT served_date, campaign_id, line, file_date, impressions, spend FROM (
+  SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS served_date,
+    CAST(l_orderkey AS VARCHAR) AS campaign_id, CAST(l_linenumber AS VARCHAR) AS line,
+    CAST(l_shipdate AS DATE) AS file_date, CAST(l_quantity AS BIGINT) * 1000 AS impressions,
+    CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS DOUBLE) AS spend,
+    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC,
+      l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rn
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+WHERE rn = 1
+"""
+
+
+@query("incremental_pool", _POOLED_WEEKS)
 def incremental_pool(spark, sf):
+    """Files arrive in two runs, late ones and a replayed one among them, with a compaction."""
     root = fresh_path(spark, "pool")
-    rows = S.restated(spark, sf)
-    rows.withColumn("part", F.col("version_2") % 4).write.partitionBy("part").parquet(
-        f"{root}/in")
-    keys = ["Campaign ID", "Strategy Name"]
-    # The delivery day of this sample is part of the version, so the store is kept by line.
-    schema = rows.withColumn("part", F.lit(0)).schema
-    T1.incremental_pool(
-        spark, schema, f"{root}/in", f"{root}/store", f"{root}/checkpoint",
-        keys, VERSION, date="Strategy Name", files_per_batch=2)
-    pooled = T1.pooled_rows(spark, f"{root}/store", keys, VERSION)
-    return _pooled(pooled).withColumn("line", F.col("line").cast("string"))
+    week = F.trunc("o_orderdate", "week").cast("date")
+    orders = S.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("Campaign ID"), week.alias("served_date"))
+    rows = S.restated(spark, sf).join(orders, "Campaign ID")
+    keys = ["served_date", "Campaign ID", "Strategy Name"]
+
+    def arrive(part):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def run(store):
+        T1.incremental_pool(spark, rows.schema, f"{root}/in", store, f"{root}/checkpoint", keys,
+                            VERSION, files_per_batch=1, files_per_day=2)
+
+    quarter = [rows.filter(F.col("version_2") % 4 == i) for i in range(4)]
+    arrive(quarter[3])
+    arrive(quarter[1])
+    run(f"{root}/store")
+    T1.compact_store(spark, f"{root}/store", f"{root}/compacted", rows.schema, keys)
+    arrive(quarter[0].unionByName(quarter[2]))
+    arrive(quarter[3])
+    run(f"{root}/compacted")
+    T1.prune_store(spark, f"{root}/compacted", rows.schema)
+    pooled = T1.pooled_rows(spark, f"{root}/compacted", rows.schema)
+    return _pooled(pooled, "served_date")
 
 
 @query("incremental_creative_alerts", "SELECT section, position, count, text FROM alert_rows")
 def incremental_creative_alerts(spark, sf):
+    """The feed arrives in three files whose days overlap."""
     root = fresh_path(spark, "alerts")
     feed = facts.creative(spark, sf)
-    feed.write.parquet(f"{root}/in")
+    for i in range(3):
+        feed.filter(F.col("campaign_id").cast("bigint") % 3 == i).coalesce(1).write.mode(
+            "append").parquet(f"{root}/in")
     T1.incremental_creative_alerts(
-        spark, feed.schema, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out").select("section", "position", "count", "text")
+        spark, feed.schema, f"{root}/in", f"{root}/state", f"{root}/out", f"{root}/checkpoint",
+        files_per_batch=1)
+    return T1.latest_alert(spark, f"{root}/out")

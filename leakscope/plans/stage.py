@@ -12,10 +12,14 @@ _written: dict[tuple, str] = {}
 
 
 def staged(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """The named table over the given input, built at its first use in this application."""
+    """The named table over the given input, built at its first use in this application.
+
+    It is rebalanced as it is written, so its part files follow its size and not the row groups
+    of the source.
+    """
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _written:
         path = fresh_path(spark, name)
-        build().write.parquet(path)
+        build().hint("rebalance").write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])

@@ -1,26 +1,36 @@
 """Writing result tables. Every sink is a distributed write; nothing passes the driver."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.functions.text import fold
+from leakscope.lineage import fresh_path
+from leakscope.sources.dimensions import with_buyer
 from leakscope.sources.pooling import newest_rows
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", order: list | None = None) -> None:
-    """Overwrite one table; `order` sorts it globally, so its part files read in order."""
-    rows = df.orderBy(*order) if order else df
-    writer = rows.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """Overwrite one table and return how many rows were written, as the write itself counts."""
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
+    return seen.get["rows"]
 
 
 def write_tables(tables: dict[str, DataFrame], root: str, formats=("csv", "parquet")) -> None:
-    """Every named result as CSV and Parquet below one folder; the latest run wins."""
+    """Every named result as CSV and Parquet below one folder; the latest run wins.
+
+    A result is evaluated once: further formats are copies of what was written first.
+    """
     for name, df in tables.items():
-        for fmt in formats:
-            write_table(df, f"{root}/{fmt}/{name}", fmt)
+        first, *others = sorted(formats, key=lambda f: f != "parquet")
+        write_table(df, f"{root}/{first}/{name}", first)
+        for fmt in others:
+            written = df.sparkSession.read.schema(df.schema).format(first).load(
+                f"{root}/{first}/{name}")
+            write_table(written, f"{root}/{fmt}/{name}", fmt)
 
 
 def write_report_window(df: DataFrame, path: str, window_id: str | Column) -> None:
@@ -32,28 +42,40 @@ def write_report_window(df: DataFrame, path: str, window_id: str | Column) -> No
     )
 
 
-def watchlist_columns(df: DataFrame) -> DataFrame:
-    """Buyer first, an open review mark second; the flag every row carries is dropped."""
+def watchlist_columns(df: DataFrame, buyers: DataFrame | None = None) -> DataFrame:
+    """Buyer first, an open review mark second; the flag every row carries is dropped.
+
+    A list without buyers gets those of its business units.
+    """
+    if "buyer" not in df.columns and buyers is not None and "business_unit" in df.columns:
+        df = with_buyer(df, buyers)
     rest = [c for c in df.columns if c not in ("buyer", "buyer_review", "flagged")]
     buyer = F.col("buyer") if "buyer" in df.columns else F.lit("")
     return df.select(buyer.alias("buyer"), F.lit(False).alias("buyer_review"), *rest)
 
 
-def watchlist_export(watchlists: dict[str, DataFrame], root: str) -> None:
+def watchlist_export(
+    watchlists: dict[str, DataFrame], root: str, buyers: DataFrame | None = None
+) -> None:
     for name, df in watchlists.items():
-        write_table(watchlist_columns(df), f"{root}/{name}", "csv")
+        write_table(watchlist_columns(df, buyers), f"{root}/{name}", "csv")
 
 
 def creative_findings_export(
     findings: dict[str, DataFrame], checks: dict[str, DataFrame], root: str
 ) -> list[str]:
-    """One output per finding and check that has rows, written whole; returns the names written."""
-    written = []
+    """One CSV table per finding and check that has rows, written whole; returns their names.
+
+    Each is evaluated once, into a table of this run whose row count decides.
+    """
+    names = []
     for name, df in (findings | checks).items():
-        if not df.isEmpty():
-            write_table(df, f"{root}/{name}", "csv")
-            written.append(name)
-    return written
+        path = fresh_path(df.sparkSession, f"finding-{name}")
+        if write_table(df, path):
+            saved = df.sparkSession.read.schema(df.schema).parquet(path)
+            write_table(saved, f"{root}/{name}", "csv")
+            names.append(name)
+    return names
 
 
 def serving_block_columns(clients: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MEASURES = {
@@ -17,18 +17,15 @@ RESTATED_TEXT = {"Clickthrough URL", "Preview Image URL"}
 def newest_rows(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """Newest row per key, by the version columns and then by the row's own values.
 
-    The choice is an aggregate (`max_by` over a struct), so every map task keeps one candidate
-    per key before the shuffle: a key with a huge number of restatements never reaches one task
-    as a whole. Null keys form their own groups and survive.
+    The first row of a window per key: Spark keeps one candidate per key in every map task before
+    the shuffle, so a key with a huge number of restatements never reaches one task as a whole, and
+    a row's columns are carried once. Null keys form their own groups and survive.
     """
-    rest = [c for c in df.columns if c not in keys]
-    ties = [c for c in rest if c not in version]
-    order = F.struct(*[F.col(f"`{c}`") for c in [*version, *ties]])
-    kept = F.struct(*[F.col(f"`{c}`") for c in rest])
-    picked = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(kept, order).alias("_row"))
-    return picked.select(
-        *[F.col(f"`{c}`") if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns]
-    )
+    ties = [c for c in df.columns if c not in keys and c not in version]
+    newest = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(
+        *[F.col(f"`{c}`").desc() for c in [*version, *ties]])
+    ranked = df.withColumn("_place", F.row_number().over(newest))
+    return ranked.filter("_place = 1").drop("_place")
 
 
 def pool_exports(

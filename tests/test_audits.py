@@ -282,3 +282,45 @@ def test_review_numbers_every_candidate(spark):
         assert [(r.batch, r.line) for r in rows] == [(i // 50, i % 50 + 1) for i in range(n)]
         order = [(-r.impressions, r.app_id, r.name) for r in rows]
         assert order == sorted(order)
+
+
+def test_ties_of_a_queue_spread_over_tasks(spark):
+    """A million candidates with equal impressions: exact places, no task with a large share."""
+    from leakscope.operators.ranking import numbered, placed
+
+    df = spark.range(1_000_000).selectExpr(
+        "cast(id % 2 as string) AS kind", "7L AS impressions",
+        "concat('a', lpad(cast((id * 7919) % 1000003 as string), 7, '0')) AS app_id")
+    order = [F.desc("impressions"), F.col("app_id")]
+    sizes = [r[0] for r in placed(df, ["kind"], order).groupBy("_part").count().select(
+        "count").collect()]
+    assert len(sizes) > 2 and max(sizes) < 1_000_000 / 2
+    got = numbered(df, ["kind"], order, "place")
+    first = got.groupBy("kind").agg(
+        F.count_distinct("place").alias("n"), F.min("place").alias("a"), F.max("place").alias("z"))
+    assert {tuple(r)[1:] for r in first.collect()} == {(500_000, 0, 499_999)}
+    spread = got.filter("place % 50000 = 0").orderBy("kind", "place").collect()
+    assert [r.app_id for r in spread if r.kind == "0"] == sorted(
+        r.app_id for r in spread if r.kind == "0")
+    some = spread[5]
+    assert got.filter((F.col("kind") == some.kind) & (F.col("app_id") < some.app_id)
+                      ).count() == some.place
+
+
+def test_null_groups_are_numbered(spark):
+    from leakscope.operators.ranking import numbered
+
+    df = spark.createDataFrame([(None, 3), (None, 1), ("x", 2)], "g string, n int")
+    got = numbered(df, ["g"], [F.desc("n")], "place").collect()
+    assert sorted((str(r.g), r.n, r.place) for r in got) == [
+        ("None", 1, 1), ("None", 3, 0), ("x", 2, 0)]
+
+
+def test_figures_of_a_feed_without_urls_or_quartiles(spark):
+    f = feed(spark, dict(), dict(creative="Other one", date=None)).drop("click_url")
+    row = S.creative_summary(f).first()
+    assert row.utm_creatives is None and row.st_completion_creatives == 0
+    assert (row.perf_creatives, row.perf_creative_campaign_pairs, row.st_sizes) == (2, 2, 1)
+    empty = S.creative_summary(f.limit(0)).first()
+    assert empty["rows"] == 0 and empty.status == "clean" and empty.perf_fatigue == 0
+    assert S.performance_counts(f.limit(0)).first().winners == 0

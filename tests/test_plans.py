@@ -38,6 +38,24 @@ def test_date_filter_passes_below_pooling(spark):
     assert re.search(r"PushedFilters: \[[^\]]*served_date", plan(kept))
 
 
+def test_figures_of_a_feed_read_it_twice(spark):
+    """Ends of the window and sums; every figure then comes from the profile."""
+    from leakscope.operators.creative_alert import alert_of
+    from leakscope.operators.creative_profile import measured, profile, summary_of, written_profile
+
+    creative = facts.creative(spark, SMALL)
+    assert plan(profile(measured(creative))).count("FileScan parquet") == 2
+    prof = written_profile(creative)
+    text = plan(alert_of(prof, summary_of(prof)))
+    assert set(re.findall(r"Location: \w+ ?\(1 paths\)\[[^\]]*/([a-z-]+?)-[0-9a-f]{4,}", text)) <= {
+        "creative-profile"}
+
+
+def test_staged_facts_have_several_files(spark):
+    """A fact is rebalanced as it is written, whatever the row groups of its source."""
+    assert len(facts.delivery(spark, "/root/testdata/sf0.01").inputFiles()) > 1
+
+
 def test_no_forced_broadcast(spark):
     """With automatic broadcasts off, every join falls back to a shuffle."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
