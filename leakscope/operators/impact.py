@@ -1,5 +1,7 @@
 """What applying the recommended blocks would do, and the buyers' watch lists."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,39 +57,62 @@ def block_impact(delivery: DataFrame, keys: DataFrame, dim: str) -> DataFrame:
     )
 
 
-def ctr_after_recs(delivery: DataFrame, keys: DataFrame, grain: list[str]) -> DataFrame:
-    """Click rate per grain without the recommended placements, and their share.
+AFTER_GRAINS = {
+    "partner": ["business_unit"], "client": ["client", "product"], "strategy": ["strategy_name"]}
+
+
+def after_recs(delivery: DataFrame, keys: DataFrame) -> DataFrame:
+    """Click rate without the recommended placements, and their share, for all three grains.
 
-    Nothing is counted here, so rows are marked as they are scanned and summed in the map tasks.
+    (grain, the dimensions of all grains, ctr_after_recs, pct_impr_on_recs): a row has the
+    dimensions of its grain, the others are null; delivery without one of them is left out of the
+    grain. Delivery is read once and summed per key and dimensions in the map tasks: only groups
+    are shuffled, marked and folded by grouping sets, whatever size the list of keys has.
     """
-    rows = _marked(with_key(delivering(delivery.dropna(subset=grain))), keys)
+    dims = [d for grain in AFTER_GRAINS.values() for d in grain]
+    per = with_key(delivering(delivery)).groupBy("match_key", *dims).agg(
+        *sums("impressions", "clicks"))
 
     def kept(c):
         return F.sum(F.when(F.col("_rec"), F.lit(0)).otherwise(F.col(c)))
 
     on_recs = F.coalesce(F.sum(F.when(F.col("_rec"), F.col("impressions"))), F.lit(0))
-    return rows.groupBy(*grain).agg(
+    folded = _marked(per, keys).groupingSets(
+        [[F.col(d) for d in grain] for grain in AFTER_GRAINS.values()], *[F.col(d) for d in dims]
+    ).agg(
         ratio(kept("clicks"), kept("impressions")).alias("ctr_after_recs"),
         ratio(on_recs, F.sum("impressions")).alias("pct_impr_on_recs"),
+        *[F.grouping(d).alias(f"_{d}") for d in dims],
     )
+    grain = F.coalesce(*[
+        F.when(F.col(f"_{grain[0]}") == 0, F.lit(name)) for name, grain in AFTER_GRAINS.items()])
+    named = reduce(lambda a, b: a & b, [(F.col(f"_{d}") == 1) | F.col(d).isNotNull() for d in dims])
+    return folded.filter(named).select(
+        grain.alias("grain"), *dims, "ctr_after_recs", "pct_impr_on_recs")
+
+
+def of_grain(after: DataFrame, name: str) -> DataFrame:
+    """The rows of one grain of `after_recs`."""
+    return after.filter(F.col("grain") == name).select(
+        *AFTER_GRAINS[name], "ctr_after_recs", "pct_impr_on_recs")
 
 
 def partner_watchlist(
     perf: DataFrame, delivery: DataFrame, exposure: DataFrame | None, buyers: DataFrame,
-    keys: DataFrame,
+    after: DataFrame,
 ) -> DataFrame:
     """Flagged partners with block-list exposure, buyer and the effect of the recommendations.
 
-    Without a block list the exposure is the partner's leak.
+    `after` is the table of `after_recs`. Without a block list the exposure is the partner's leak.
     """
     if exposure is None:
         exposure = leak_by(delivery, "business_unit").select(
             "business_unit", F.col("leaked_impressions").alias("blocked_impr"),
             F.col("placements").alias("blocked_placements"),
         )
-    after = ctr_after_recs(delivery, keys, ["business_unit"])
     rows = perf.filter("flagged").drop("flagged").join(exposure, "business_unit", "left")
-    rows = with_buyer(rows.join(after, "business_unit", "left"), buyers)
+    rows = with_buyer(
+        rows.join(of_grain(after, "partner"), "business_unit", "left"), buyers)
     return rows.withColumns(
         {
             "blocked_impr": F.coalesce("blocked_impr", F.lit(0)),
@@ -97,14 +122,13 @@ def partner_watchlist(
     )
 
 
-def client_watchlist(flags: DataFrame, delivery: DataFrame, buyers: DataFrame, keys: DataFrame):
-    after = ctr_after_recs(delivery, keys, ["client", "product"])
-    return with_buyer(flags.join(after, ["client", "product"], "left"), buyers)
+def client_watchlist(flags: DataFrame, buyers: DataFrame, after: DataFrame) -> DataFrame:
+    return with_buyer(
+        flags.join(of_grain(after, "client"), ["client", "product"], "left"), buyers)
 
 
-def strategy_watchlist(flags: DataFrame, delivery: DataFrame, buyers: DataFrame, keys: DataFrame):
-    after = ctr_after_recs(delivery, keys, ["strategy_name"])
-    return with_buyer(flags.join(after, "strategy_name", "left"), buyers)
+def strategy_watchlist(flags: DataFrame, buyers: DataFrame, after: DataFrame) -> DataFrame:
+    return with_buyer(flags.join(of_grain(after, "strategy"), "strategy_name", "left"), buyers)
 
 
 def low_ctr_account_blocked(low_ctr: DataFrame, account_blocks: DataFrame) -> DataFrame:

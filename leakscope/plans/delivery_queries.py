@@ -462,11 +462,14 @@ for _dim, _name, _where in (("product", "product", f"product IN {O.KNOWN}"),
         lambda spark, sf, d=_dim: I.block_impact(facts.delivery(spark, sf), keys_of(spark, sf), d),
         O.statement(_impact_sql(_dim, _where)),
     )
-for _grain, _name in ((["business_unit"], "partner"), (["client", "product"], "client"),
-                      (["strategy_name"], "strategy")):
+def after_recs(spark, sf):
+    return staged(spark, sf, "after_recs", lambda: I.after_recs(
+        facts.delivery(spark, sf), keys_of(spark, sf)))
+
+
+for _name in I.AFTER_GRAINS:
     QUERIES[f"ctr_after_recs_{_name}"] = (
-        lambda spark, sf, g=_grain: I.ctr_after_recs(
-            facts.delivery(spark, sf), keys_of(spark, sf), g),
+        lambda spark, sf, g=_name: I.of_grain(after_recs(spark, sf), g),
         O.statement(f"SELECT * FROM adj_{_name}"),
     )
 
@@ -482,7 +485,7 @@ def partner_watchlist(spark, sf):
     d, bl = facts.delivery(spark, sf), key_blocklist(spark, sf)
     perf = V.perf_by_business_unit(facts.performance(spark, sf), tiers=SAMPLE_TIERS)
     return I.partner_watchlist(
-        perf, d, B.blocklist_exposure_by_bu(d, bl), buyers(spark, sf), keys_of(spark, sf))
+        perf, d, B.blocklist_exposure_by_bu(d, bl), buyers(spark, sf), after_recs(spark, sf))
 
 
 @query("client_watchlist", """
@@ -490,8 +493,7 @@ SELECT f.*, a.ctr_after_recs, a.pct_impr_on_recs, b.buyer FROM client_flags f
 LEFT JOIN adj_client a USING (client, product) LEFT JOIN buyers b USING (business_unit)""")
 def client_watchlist(spark, sf):
     flags = V.client_ctr_flags(facts.performance(spark, sf))
-    return I.client_watchlist(
-        flags, facts.delivery(spark, sf), buyers(spark, sf), keys_of(spark, sf))
+    return I.client_watchlist(flags, buyers(spark, sf), after_recs(spark, sf))
 
 
 @query("strategy_watchlist", """
@@ -499,8 +501,7 @@ SELECT f.*, a.ctr_after_recs, a.pct_impr_on_recs, b.buyer FROM strategy_flags f
 LEFT JOIN adj_strategy a USING (strategy_name) LEFT JOIN buyers b USING (business_unit)""")
 def strategy_watchlist(spark, sf):
     flags = V.strategy_ctr_flags(facts.performance(spark, sf))
-    return I.strategy_watchlist(
-        flags, facts.delivery(spark, sf), buyers(spark, sf), keys_of(spark, sf))
+    return I.strategy_watchlist(flags, buyers(spark, sf), after_recs(spark, sf))
 
 
 @query("low_ctr_account_blocked", f"""

@@ -130,7 +130,7 @@ SELECT s_name AS value, CASE s_suppkey % 4 WHEN 0 THEN 'All Products' WHEN 1 THE
     WHEN 2 THEN 'Social Mirror' WHEN 3 THEN 'Audio' END AS tab,
   CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN DATE '2002-06-01'
     ELSE DATE '1998-01-01' + CAST(s_suppkey AS INTEGER) END AS date_added
-FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 4 = 1
+FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 4 = 1 OR s_suppkey % 8 = 3
 UNION ALL
 SELECT 'com.brand' || regexp_extract(p_brand, '(\\d+)', 1) || '.app' || CAST(p_partkey AS VARCHAR),
   'All Products', DATE '1999-01-01' FROM part WHERE p_partkey % 50 = 0

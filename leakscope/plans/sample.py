@@ -130,7 +130,8 @@ def blocklist_rows(spark: SparkSession, sf: str) -> DataFrame:
     tab = _pick(key % 4, {0: "All Products", 1: "CTV", 2: "Social Mirror", 3: "Audio"})
     day = F.when(key % 3 != 0, F.when(key % 7 == 0, F.lit("2002-06-01").cast("date")).otherwise(
         F.date_add(F.lit("1998-01-01").cast("date"), key.cast("int"))))
-    sites = table(spark, sf, "supplier").filter((key % 2 == 0) | (key % 4 == 1)).select(
+    sites = table(spark, sf, "supplier").filter(
+        (key % 2 == 0) | (key % 4 == 1) | (key % 8 == 3)).select(
         F.col("s_name").alias("value"), tab.alias("tab"), day.alias("date_added"))
     bundle = F.concat(
         F.lit("com.brand"), F.regexp_extract("p_brand", r"(\d+)", 1), F.lit(".app"),

@@ -104,6 +104,29 @@ def read_creative_export(spark, sf):
         F.col("spend").cast("double").alias("spend"), "q100", "conversions")
 
 
+@query("read_exchange_export", """
+SELECT exchange, CASE WHEN l_linenumber % 2 = 0 THEN product ELSE '(all)' END AS product,
+  impressions, clicks, conversions + CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE view_throughs END
+    AS conversions, CAST(spend AS DOUBLE) AS spend
+FROM (SELECT *, CASE WHEN placement_type = 'site' THEN 1 ELSE 2 END AS l_linenumber FROM delivery)""")
+def read_exchange_export(spark, sf):
+    """One folder with two layouts: two conversion columns and no product; a product and one."""
+    rows = facts.delivery(spark, sf)
+    root = fresh_path(spark, "exchange-export")
+    first = rows.filter("placement_type = 'site'").select(
+        F.col("conversions").alias("Post-Click Conversions"), F.col("exchange").alias("Exchange"),
+        F.col("view_throughs").alias("Post-View Conversions"), F.col("clicks").alias("Clicks"),
+        F.col("impressions").alias("Impressions"), F.col("spend").alias("Billable Spend"))
+    second = rows.filter("placement_type = 'app'").select(
+        F.col("product").alias("PRODUCT 2"), F.col("spend").alias("media cost"),
+        F.col("impressions").alias("impressions served"), F.col("clicks").alias("clicks"),
+        F.col("conversions").alias("Conversions"), F.col("exchange").alias("exchange name"))
+    for sheet in (first, second):
+        sheet.write.mode("append").option("header", True).csv(root)
+    sheets = X.read_exchange_export(spark, root)
+    return sheets.withColumn("spend", F.col("spend").cast("double"))
+
+
 @query("drop_total_row", """
 SELECT CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE 'BU-' || CAST(o_orderkey % 7 AS VARCHAR) END
     AS business_unit, CAST(o_orderkey AS VARCHAR) AS client,
@@ -296,7 +319,7 @@ SELECT match_key, tab, value, date_added FROM (
   FROM bl_rows GROUP BY 1, 2)""")
 def blocklist(spark, sf):
     return read_blocklist(spark, written_tabs(
-        spark, S.blocklist_rows(spark, sf), ("All Products", "CTV", "Social Mirror")))
+        spark, S.blocklist_rows(spark, sf), ("All Products", "CTV", "Social Mirror", "Audio")))
 
 
 @query("blocklist_dim_four_tabs", """

@@ -1,9 +1,13 @@
 """Flat delivery and creative exports (CSV or Parquet) and the canonical delivery fact."""
 
+import csv
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leakscope.functions import constants as K
 from leakscope.functions.names import display_name, looks_like_app, split_name_id
@@ -14,6 +18,7 @@ from leakscope.sources.headers import (
     DELIVERY_COLUMNS,
     DELIVERY_HEADERS,
     canonical_columns,
+    columns_containing,
     find_by_tokens,
 )
 
@@ -67,12 +72,74 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.withColumns(casts)
 
 
-def _read_one(spark: SparkSession, path: str, fmt: str, multi_line: bool) -> DataFrame:
-    """One path. CSV files of a folder must share one header: others fail rather than shift."""
-    if fmt == "csv":
-        return spark.read.options(
-            header=True, escape='"', enforceSchema=False, multiLine=multi_line).csv(path)
-    return spark.read.format(fmt).load(path)
+# So large that no file is split or shares a partition with another one.
+_ONE_FILE_EACH = {"spark.sql.files.maxPartitionBytes": str(1 << 50),
+                  "spark.sql.files.openCostInBytes": str(1 << 50)}
+
+
+def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Header line -> the files that begin with it, for all files of the paths.
+
+    One job with a task for each file, which stops reading behind the first line that is not
+    blank. The names of the files pass the driver, as Spark's own listing of them does.
+    """
+    def first_lines(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if line.strip():
+                    yield pa.RecordBatch.from_pydict({"path": [path], "header": [line]})
+                    return
+
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    before = {k: spark.conf.get(k) for k in _ONE_FILE_EACH}
+    try:
+        for key, value in _ONE_FILE_EACH.items():
+            spark.conf.set(key, value)
+        found = lines.mapInArrow(first_lines, "path string, header string").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    out: dict[str, list[str]] = {}
+    for path, header in sorted(found):
+        out.setdefault(header.lstrip("\ufeff").rstrip("\r"), []).append(unquote(path))
+    return out
+
+
+def _names(header: str) -> list[str]:
+    """Column names of a header line; blank and repeated ones get their place as a suffix."""
+    names = next(csv.reader([header]))
+    low = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n
+            for i, n in enumerate(names)]
+
+
+def _literal(path: str) -> str:
+    """A path without its characters being read as a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def read_layouts(spark: SparkSession, paths, fmt: str, multi_line: bool) -> list[DataFrame]:
+    """The rows of all files as one frame for each layout.
+
+    CSV files are grouped by their header line, so a folder may hold files of several layouts and
+    thousands of files of a few layouts are a few scans. Other formats name their columns in each
+    path's own schema.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if fmt != "csv":
+        return [spark.read.format(fmt).load(p) for p in paths]
+    reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
+    frames = []
+    for header, files in csv_headers(spark, paths).items():
+        files = [_literal(f) for f in files]
+        if header.count('"') % 2:  # a name with a line break
+            frames.append(reader.csv(files))
+        else:
+            schema = StructType([StructField(n, StringType()) for n in _names(header)])
+            frames.append(reader.schema(schema).csv(files))
+    return frames or [reader.csv(paths)]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -84,16 +151,13 @@ def read_delivery_export(
 ) -> DataFrame:
     """Site/app exports with canonical headers, used columns only and coerced measures.
 
-    Headers are resolved per path, because exports of different days may order or name their
-    columns differently; the rows of all paths are one lazy union. A folder whose CSV files differ
-    in their header fails when it is read: pass such files as paths of their own. With
-    `multi_line` quoted values may hold line breaks, and a file is read by one task.
+    Headers are resolved per layout, because exports of different days may order or name their
+    columns differently; the rows of all layouts are one lazy union. With `multi_line` quoted
+    values may hold line breaks, and a file is read by one task.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
     frames = [
-        _typed(canonical_columns(
-            _read_one(spark, p, fmt, multi_line), DELIVERY_HEADERS, DELIVERY_COLUMNS))
-        for p in paths
+        _typed(canonical_columns(df, DELIVERY_HEADERS, DELIVERY_COLUMNS))
+        for df in read_layouts(spark, paths, fmt, multi_line)
     ]
     return clean_app_identity(_union(frames))
 
@@ -104,18 +168,51 @@ def read_creative_export(
     """Creative exports. Names and URLs stay verbatim: blanks are what the audit looks for.
 
     Names may hold quoted line breaks, so a CSV file is read by one task unless `multi_line` is
-    off. As in `read_delivery_export`, the files of one path share a header.
-    A layout without a creative name comes back unpruned, so the caller can refuse it.
+    off. A layout without a creative name comes back unpruned, so the caller can refuse it.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
     frames = []
-    for p in paths:
-        raw = _read_one(spark, p, fmt, multi_line)
+    for raw in read_layouts(spark, paths, fmt, multi_line):
         df = canonical_columns(raw, CREATIVE_HEADERS, CREATIVE_COLUMNS)
         frames.append(_typed(df) if "Creative Name" in df.columns else raw)
     return _union(frames)
 
 
+def exchange_rows(df: DataFrame) -> DataFrame:
+    """Canonical rows of an exchange sheet: what the exchange audits take.
+
+    Columns are found by the words in their names. All conversion columns are added up, without
+    one conversions are 0; without a product all rows belong to the product `(all)`. Numbers that
+    do not parse count as 0. A sheet without an exchange column is refused.
+    """
+    cols = df.columns
+    found = {
+        "exchange": find_by_tokens(cols, ("exchange",)),
+        "product": find_by_tokens(cols, ("product",)),
+        "impressions": find_by_tokens(cols, ("impression",), exclude=("conversion",)),
+        "clicks": find_by_tokens(cols, ("click",), exclude=("conversion",)),
+        "spend": find_by_tokens(cols, ("billable", "spend"), ("spend",), ("cost",)),
+    }
+    if found["exchange"] is None:
+        raise ValueError("no exchange column")
+
+    def column(name, missing):
+        return F.col(f"`{found[name]}`") if found[name] else missing
+
+    conversions = reduce(
+        lambda a, b: a + b, [count_of(F.col(f"`{c}`")) for c in columns_containing(
+            cols, "conversion")], F.lit(0).cast("bigint"))
+    return df.select(
+        column("exchange", None).cast("string").alias("exchange"),
+        column("product", F.lit("(all)")).cast("string").alias("product"),
+        *[count_of(column(c, F.lit(0))).alias(c) for c in ("impressions", "clicks")],
+        conversions.alias("conversions"), money_of(column("spend", F.lit(0))).alias("spend"))
+
+
+def read_exchange_export(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:
+    """Exchange sheets of any layouts as rows of exchange, product and measures."""
+    return _union([exchange_rows(df) for df in read_layouts(spark, paths, fmt, False)])
+
+
 def drop_total_row(df: DataFrame) -> DataFrame:
     """Drop summary rows (first column reads TOTAL) and coerce the overview numbers."""
     first = F.col(f"`{df.columns[0]}`").cast("string")

@@ -51,6 +51,23 @@ def test_figures_of_a_feed_read_it_twice(spark):
         "creative-profile"}
 
 
+def test_recommended_keys_meet_groups_not_rows(spark):
+    """Without broadcasts no row of delivery is shuffled, and three grains take one scan."""
+    from leakscope.operators.impact import after_recs
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = spark.range(5).selectExpr("cast(id as string) AS match_key")
+        text = plan(after_recs(facts.delivery(spark, SMALL), keys))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("FileScan parquet") == 1
+    scan = text.splitlines().index(next(x for x in text.splitlines() if "FileScan parquet" in x))
+    below = [x for x in text.splitlines()[:scan] if "Exchange" in x or "HashAggregate" in x]
+    assert "partial_sum" in below[-1]  # the aggregate stands between the scan and any exchange
+
+
 def test_staged_facts_have_several_files(spark):
     """A fact is rebalanced as it is written, whatever the row groups of its source."""
     assert len(facts.delivery(spark, "/root/testdata/sf0.01").inputFiles()) > 1
