@@ -31,8 +31,8 @@ ENDS = {
 }
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -80,9 +80,15 @@ def _text_traits(parent: str, text: str, linked: int) -> list[str]:
 
 
 def parse(html: str) -> Page:
-    """The page's tree. Elements whose text is no markup (RAW) are left out with what they hold."""
+    """The page's tree. Elements whose text is no markup (RAW) are left out with what they hold.
+
+    Time is in proportion to the page, however deep its elements are nested. A tag without its end
+    before the next `<` is text.
+    """
     nodes, texts = [Node("root", -1, ["tag:root"])], []
     stack: list[tuple[str, int]] = [("root", 0)]  # open elements; inline ones share the node around
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+    blocks = [0]  # where in the stack the elements are that are not inline
     block, run, linked, links, asides = 0, [], 0, 0, False
 
     def flush():
@@ -99,19 +105,29 @@ def parse(html: str) -> Page:
         nonlocal block, links
         for tag, _ in stack[upto:]:
             links -= tag == "a"
-        broken = any(tag not in INLINE for tag, _ in stack[upto:])
+            places[tag].pop()
+        broken = blocks[-1] >= upto
+        while blocks[-1] >= upto:
+            blocks.pop()
         if broken or stack[upto][1] != stack[upto - 1][1]:
             flush()
             block += broken
         del stack[upto:]
 
+    def last(names) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def end_open(names, limits):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                close(i)
-                return
-            if stack[i][0] in limits:
-                return
+        found = last(names)
+        if found > last(limits):
+            close(found)
+
+    def push(tag: str, node: int):
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, node))
 
     at = 0
     while at < len(html):
@@ -129,15 +145,13 @@ def parse(html: str) -> Page:
             continue
         tag, closing = m[2].lower(), m[1]
         if closing:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            found = last((tag,))
+            if tag == "p" and not found:
                 flush()
                 block += 1
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break  # an inline element does not end outside its block
+            # an inline element does not end outside its block
+            if found and (tag not in INLINE or found > blocks[-1]):
+                close(found)
             continue
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -147,7 +161,7 @@ def parse(html: str) -> Page:
             continue
         if tag in RAW or tag in SKIPPED:
             continue
-        if m[3].endswith("/") and any(t in ("svg", "math") for t in (tag, *(t for t, _ in stack))):
+        if m[3].endswith("/") and (tag in ("svg", "math") or last(("svg", "math"))):
             continue  # there, a tag may end its own element
         if tag == "br":
             run.append(" ")
@@ -169,13 +183,13 @@ def parse(html: str) -> Page:
         if inline and not (attributes.keys() & {"class", "id", "role", "hidden", "style"}
                            and tag == "span"):
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
         flush()
         block += not inline
         parent = stack[-1][1]
         main = {"1": True, "0": False}.get(attributes.get("data-main", ""))
         nodes.append(Node(tag, parent, _traits(tag, nodes[parent].tag, attributes), main))
-        stack.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
     flush()
     return Page(nodes, texts)
