@@ -38,14 +38,14 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES,
           seed: int = SEED) -> np.ndarray:
-    """[vector, table, probe] bucket codes: probe 0 is the vector's own bucket.
+    """[vector, table, probe] bucket codes of unit vectors: probe 0 is the own bucket.
 
     Probe 1+i replaces the i-th hash by its second-nearest axis.
     """
     n, d = vectors.shape
     wide = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, wide))
-    padded[:, :d] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    padded[:, :d] = vectors
     rng = np.random.default_rng(seed)
     out = np.zeros((n, tables, 1 + hashes), np.int64)
     at = np.arange(n)
@@ -74,6 +74,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; by the largest component first, so that no square overflows."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _ragged(matrix: np.ndarray) -> pa.Array:
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(matrix.reshape(-1)))
+
+
 def _by_length(lists: pa.Array):
     lengths = np.asarray(pc.list_value_length(lists))
     for d in np.unique(lengths):
@@ -87,12 +99,11 @@ def _hasher(tables: int, hashes: int):
                 continue
             for rows in _by_length(batch.column(1)):
                 part = batch.take(pa.array(rows))
-                code = codes(_matrix(part.column(1)), tables, hashes)
-                flat = pa.array(code.reshape(-1))
-                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * code[0].size)
+                unit = units(_matrix(part.column(1)))
+                code = codes(unit, tables, hashes)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(offsets, flat)],
-                    names=["id", "codes"])
+                    [part.column(0), _ragged(code.reshape(len(rows), -1)), _ragged(unit)],
+                    names=["id", "codes", "unit"])
 
     return run
 
@@ -161,21 +172,20 @@ def _comparer(cosine: float, tables: int, hashes: int):
         for batch in _with_end(batches):
             if batch is not None and batch.num_rows:
                 own = {c: batch.column(n).to_numpy(zero_copy_only=False) for n, c in
-                       enumerate(("table", "code", "dim", "label", "bi", "bj", "block", "id",
+                       enumerate(("bucket", "bi", "bj", "table", "code", "block", "id",
                                   "copies"))}
-                vectors = batch.column(9).to_pylist()
-                own["unit"] = np.empty(len(vectors), object)
-                for n, v in enumerate(vectors):
-                    v = np.array(v, np.float64)
-                    own["unit"][n] = v / np.linalg.norm(v)
-                flat = batch.column(10).flatten().to_numpy(zero_copy_only=False)
+                flat = batch.column(8).flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(np.asarray(pc.list_value_length(batch.column(8))))
+                own["unit"] = np.empty(batch.num_rows, object)
+                own["unit"][:] = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                flat = batch.column(9).flatten().to_numpy(zero_copy_only=False)
                 own["codes"] = flat.reshape(-1, tables, 1 + hashes)
                 assert flat.size == batch.num_rows * width
                 held = own if held is None else {
                     k: np.concatenate([held[k], own[k]]) for k in own}
             if held is None or not len(held["id"]):
                 continue
-            key = np.stack([held[c] for c in ("table", "code", "dim", "label", "bi", "bj")])
+            key = np.stack([held[c] for c in ("bucket", "bi", "bj")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             ends = [*cuts.tolist()] + ([len(held["id"])] if batch is None else [])
             a, found = 0, []
@@ -211,15 +221,15 @@ def near_vectors(vectors: DataFrame, cosine: float, tables: int = TABLES, hashes
                  block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id for each row of `vectors` (vec_id, embedding, label).
 
-    Two vectors are linked if their labels are equal and not null, their lengths are equal and
-    their cosine is at least `cosine`; n_links counts other vectors, component_id is the smallest
+    Two vectors are linked if their labels, of any type, are equal and not null, their lengths are
+    equal and their cosine is at least `cosine`, whatever their scales; n_links counts other vectors, component_id is the smallest
     vec_id reachable. A null, empty or zero vector, one with null or non-finite components, and
     one without label or vec_id has no links and is its own component. Rows that repeat a vec_id
     are vectors of their own. Other columns are ignored.
     """
     every = vectors.select(
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"),
-        F.col("label").cast("long"))
+        "label")
     usable = every.where(_usable() & F.col("vec_id").isNotNull()).select(
         "vec_id", "label", "embedding", F.size("embedding").alias("dim"))
     classes = written(
@@ -229,33 +239,34 @@ def near_vectors(vectors: DataFrame, cosine: float, tables: int = TABLES, hashes
         "vector-classes")
     hashed = written(
         mapped(classes.select("id", "embedding"), _hasher(tables, hashes),
-               "id long, codes array<long>"), "codes")
+               "id long, codes array<long>, unit array<double>"), "codes")
     probes = 1 + hashes
     looked = (
-        hashed.join(classes.select("id", "label", "dim"), "id")
+        hashed.select("id", "codes").join(classes.select("id", "label", "dim"), "id")
         .select("id", "label", "dim", F.posexplode("codes").alias("p", "code"))
         .select("id", "label", "dim", F.expr(f"p div {probes}").alias("table"), "code",
                 (F.col("p") % probes == 0).alias("own"))
     )
     key = ["table", "code", "dim", "label"]
-    full = looked.groupBy(*key).agg(
+    full = written(looked.groupBy(*key).agg(
         F.count("*").alias("n"), F.count_if("own").alias("owners")
-    ).where("n > 1 and owners > 0").select(*key, "n")
+    ).where("n > 1 and owners > 0").select(
+        *key, "n", F.monotonically_increasing_id().alias("bucket")), "buckets")
     blocks = F.ceil(F.col("n") / block).cast("long")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
     placed = (
-        looked.join(full, key).select(*key, "id", blocks.alias("blocks"))
+        looked.join(full, key).select("bucket", "table", "code", "id", blocks.alias("blocks"))
         .withColumn("block", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select(*key, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-                "block", "id")
+        .select("bucket", "table", "code", F.least("block", "other").alias("bi"),
+                F.greatest("block", "other").alias("bj"), "block", "id")
     )
-    payload = classes.join(hashed, "id").select("id", "copies", "embedding", "codes")
-    order = [*key, "bi", "bj"]
+    payload = classes.select("id", "copies").join(hashed, "id")
+    order = ["bucket", "bi", "bj"]
     dealt = (
         placed.join(payload, "id")
-        .select(*[F.col(c).cast("long").alias(c) for c in order], "block", "id", "copies",
-                "embedding", "codes")
+        .select(*order, F.col("table").cast("long").alias("table"), "code", "block", "id",
+                "copies", "unit", "codes")
         .repartition(*order).sortWithinPartitions(*order, "block", "id")
     )
     compared = written(

@@ -162,3 +162,19 @@ def test_polytope_groups_blocks_and_odd_rows(spark, block):
     group = {r["vec_id"]: r["n_links"] for r in got if r["vec_id"] < 60 or r["vec_id"] >= 900}
     assert group == {v: links[v] for v in group}
     assert polytope.near_vectors(df.limit(0), 0.93).count() == 0
+
+
+def test_vectors_of_any_scale_and_labels_of_any_type(spark):
+    v = [3.0, -4.0, 12.0, 0.5]
+    scales = [1.0, 1e-200, 2e-200, 1e200, 1e-310, -1e200]
+    rows = [(i, [s * x for x in v], "a") for i, s in enumerate(scales)]
+    rows += [(10, v, "b"), (11, [2 * x for x in v], "b"), (12, v, None), (13, [1e308] * 4, "a"),
+             (14, [5e307, 5e307, 5e307, 4e307], "a"), (15, [1e308, 0.0, 0.0, 0.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in polytope.near_vectors(df, 0.93).collect()}
+    assert [got[i] for i in range(6)] == [(4, 0)] * 5 + [(0, 5)]
+    assert got[10] == got[11] == (1, 10) and got[12] == (0, 12)
+    assert got[13] == got[14] == (1, 13) and got[15] == (0, 15)
+    close = spark.createDataFrame([(1, v, 1.2), (2, v, 1.7)],
+                                  "vec_id long, embedding array<double>, label double")
+    assert {r.n_links for r in polytope.near_vectors(close, 0.93).collect()} == {0}
