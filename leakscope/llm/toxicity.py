@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from leakscope.llm import tokens
 from leakscope.llm.common import mapped
 
-# Labelled documents used at most: toxic, ordinary; and the longest text among them in characters.
+# Labelled documents used at most: toxic, ordinary; and characters of a text among them at most,
+# from so many places of a longer one.
 SAMPLE = (4000, 8000)
 SAMPLE_CHARS = 20_000
+SAMPLE_PLACES = 10
 
 # A letter sequence is toxic if so many toxic documents hold it, and it is so many times as common
 # among them as among ordinary ones.
@@ -35,6 +37,8 @@ ORDINARY_BYTES = 30_000
 TOXIC_BYTES = 60_000
 
 WINDOW = 48
+# Windows of a longer word begin so far apart, so that each of its sequences is whole in one.
+STRIDE = WINDOW - max(SEQUENCES)
 LEVEL = 3
 # zstandard finds no match in the last bytes of its input; this tail, at the end of both
 # dictionaries, stands there instead of the word's.
@@ -48,7 +52,8 @@ _WORDS = re.compile(r"\S+")
 def windows(text: str) -> list[str]:
     found = _WORDS.findall(text.lower())
     if any(len(w) > WINDOW for w in found):
-        found = [w[a : a + WINDOW] for w in found for a in range(0, len(w), WINDOW)]
+        found = [w[a : a + WINDOW] for w in found
+                 for a in range(0, max(1, len(w) - max(SEQUENCES)), STRIDE)]
     return found
 
 
@@ -197,10 +202,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
         chars: int = SAMPLE_CHARS) -> Model:
     """The model of at most `sample` toxic and ordinary labelled documents, by a fixed hash order.
 
-    Labels of held-out documents are not read. Texts longer than `chars` take no part in the fit
-    (scores always use whole texts). The sample, at most 12,000 short texts by default, is the only
-    thing that reaches the driver.
+    Labels of held-out documents are not read. Of a text longer than `chars` the fit sees stretches
+    of as many characters in all, evenly spaced (scores always use whole texts). Of equal doc_ids
+    with several labels or texts the largest label and the smallest text count. The sample, at most
+    12,000 such texts by default, is the only thing that reaches the driver.
     """
+    piece = chars // SAMPLE_PLACES
+    step = F.call_function(
+        "div", F.length("text") - piece, F.lit(max(1, SAMPLE_PLACES - 1))).cast("int")
+    short = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.concat_ws(
+        " ", *[F.substring("text", step * i + 1, F.lit(piece)) for i in range(SAMPLE_PLACES)]))
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(~held_out(F.col("doc_id")))
@@ -214,8 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     picked = picked.select(F.col("doc_id").alias("labelled_id"), "toxic")
     rows = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .where(F.length("text") <= chars)
+        .where(F.col("text").isNotNull())
         .join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id"))
+        .select("doc_id", "toxic", short.alias("text"))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
         .collect()
     )
@@ -233,7 +245,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     score (0 to 1) uses the text alone, all of it. A null text is scored as an empty one: no
     window, so the score of a document in which nothing tells. A null doc_id is not held out.
-    Repeated rows are scored each; other columns are ignored.
+    Texts are scored whole, however long; repeated rows are scored each, equal texts alike; other
+    columns are ignored; an empty table gives no rows.
     """
     def run(batches):
         own = model.scorer()
