@@ -16,34 +16,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A column name like `name` that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
     """One document of each near-duplicate class: that of the smallest doc_id.
 
-    Documents without an id or without words are kept. Of rows that repeat an id in one class one
-    row stays.
+    Documents without an id or without words are kept. Of rows that repeat an id and a text one row
+    stays; different texts under one id share its fate.
     """
     classes = written(minhash.near_duplicates(docs), "classes")
     ids = classes.where("n_shingles > 0 and doc_id is not null")
     dropped = ids.groupBy("doc_id").agg(
         F.count("*").alias("rows"),
         F.min(F.col("doc_id") == F.col("component_id")).alias("first"))
+    of, first = free("of_id", docs), free("is_first", docs)
     marked = docs.join(
         broadcast_if_small(written(
             dropped.where("not first or rows > 1")
-            .select(F.col("doc_id").alias("_marked"), F.col("first").alias("_first")), "marked")),
-        F.col("doc_id").cast("long") == F.col("_marked"), "left")
-    single = marked.where("_marked is null").select(*docs.columns)
-    repeated = marked.where("_first").select(*docs.columns).dropDuplicates(["doc_id"])
+            .select(F.col("doc_id").alias(of), F.col("first").alias(first)), "marked")),
+        F.col("doc_id").cast("long") == F.col(of), "left")
+    single = marked.where(F.col(of).isNull()).select(*docs.columns)
+    repeated = marked.where(F.col(first)).select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    of = free("leaked_id", docs)
     found = decontaminate.leaks(docs, table(spark, sf, "benchmark")).select(
-        F.col("doc_id").alias("_leaked")).distinct()
+        F.col("doc_id").alias(of)).distinct()
     return docs.join(
         broadcast_if_small(written(found, "leaked")),
-        F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+        F.col("doc_id").eqNullSafe(F.col(of)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
