@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.text import grouped
-from leakscope.operators.creative_profile import summary_of, written_profile
+from leakscope.operators.creative_profile import measured, summary_of, written_profile
 from leakscope.operators.creative_quality import alert_headline, campaign_blanks, is_alert
 
 
@@ -71,5 +71,5 @@ def creative_alert_rows(creative: DataFrame, min_impressions: int = 1) -> DataFr
 
     None when there is neither a blank name nor a critical finding.
     """
-    prof = written_profile(creative)
+    prof = written_profile(measured(creative))
     return alert_of(prof, summary_of(prof, min_impressions))

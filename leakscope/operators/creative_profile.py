@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions import constants as K
-from leakscope.functions.names import blank_reason
 from leakscope.functions.ratios import ctr, money, ratio, total
 from leakscope.lineage import written
 from leakscope.operators import creative_performance as P
@@ -63,8 +62,10 @@ def profile(rows: DataFrame) -> DataFrame:
 
     Early is the first half of the window of named rows; rows without a date are late.
     """
-    span = F.datediff(F.max("date"), F.min("date"))
-    middle = Q.named(rows).agg(F.date_add(F.min("date"), F.floor(span / 2).cast("int"))).scalar()
+    # names are matched against the patterns once each, not once per row
+    days = rows.groupBy("creative").agg(F.min("date").alias("a"), F.max("date").alias("z"))
+    half = F.floor(F.datediff(F.max("z"), F.min("a")) / 2).cast("int")
+    middle = Q.named(days).agg(F.date_add(F.min("a"), half)).scalar()
     marked = rows.withColumn("_early", F.coalesce(F.col("date") <= middle, F.lit(False)))
     return marked.groupBy(*Q.present(rows, PROFILE_KEYS)).agg(
         *_sums(rows), F.min("date").alias("first"), F.max("date").alias("last"),
@@ -72,8 +73,20 @@ def profile(rows: DataFrame) -> DataFrame:
           for m in ("impressions", "clicks")])
 
 
-def written_profile(creative: DataFrame) -> DataFrame:
-    return written(profile(measured(creative)), "creative-profile")
+def with_verdicts(prof: DataFrame) -> DataFrame:
+    """A profile with the issue of each name and what the checks of texts find, as columns."""
+    checks = Q.text_checks(prof.columns)
+    marked = Q.with_parts(prof).withColumns({f"is_{k}": c for k, c in checks.items()})
+    return marked.withColumnRenamed("_issue", "issue").drop("_sizes", "_product")
+
+
+def written_profile(rows: DataFrame) -> DataFrame:
+    """The profile of `measured` rows or sums of them, written: what all figures are made from."""
+    return written(with_verdicts(profile(rows)), "creative-profile")
+
+
+def _named(prof: DataFrame) -> DataFrame:
+    return prof.filter("issue is null")
 
 
 # --- families of figures, one row each --------------------------------------------------------
@@ -81,10 +94,9 @@ def written_profile(creative: DataFrame) -> DataFrame:
 
 def _names(prof: DataFrame) -> DataFrame:
     """Totals, blanks, window and the checks, over one row per creative name."""
-    checks = Q.text_checks(prof.columns)
-    marked = Q.with_parts(prof).withColumns({f"is_{k}": c for k, c in checks.items()})
+    checks = [c[3:] for c in prof.columns if c.startswith("is_")]
     listed = [k for k in [*Q.GROUPED_CHECKS, "missing_preview"] if k in checks]
-    per = marked.groupBy("creative").agg(
+    per = prof.groupBy("creative", "issue").agg(
         total("rows"), total("impressions"), total("spend"),
         F.min("first").alias("first"), F.max("last").alias("last"),
         *[F.coalesce(F.sum(F.when(F.col(f"is_{k}"), F.col("rows"))), F.lit(0)).alias(f"{k}_rows")
@@ -93,7 +105,7 @@ def _names(prof: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("is_sm_display_size"), F.col("impressions"))), F.lit(0))
         .alias("banner_impressions"),
         *[F.bool_or(f"is_{k}").alias(f"any_{k}") for k in listed],
-    ).withColumn("issue", blank_reason(F.col("creative")))
+    )
     bad = F.col("issue").isNotNull()
 
     def part(cond, c):
@@ -124,7 +136,7 @@ def _names(prof: DataFrame) -> DataFrame:
 
 
 def _conflicts(prof: DataFrame) -> DataFrame:
-    return Q.conflicting_ids(Q.named(prof)).agg(total("rows", "conflict_rows"))
+    return Q.conflicting_ids(_named(prof)).agg(total("rows", "conflict_rows"))
 
 
 def _campaigns(prof: DataFrame, floor: int) -> DataFrame:
@@ -135,14 +147,14 @@ def _campaigns(prof: DataFrame, floor: int) -> DataFrame:
 
 
 def _roster(prof: DataFrame) -> DataFrame:
-    rows = Q.named(prof)
+    rows = _named(prof)
     return rows.groupBy(*Q.present(prof, P.ROSTER_KEYS)).agg(
         *[total(m) for m in ("impressions", "clicks", "spend", "conversions")]
     ).withColumns({"spend": money("spend"), "ctr": ctr()})
 
 
 def _families(prof: DataFrame, min_impr: int, noclick_impr: int, noconv_spend: float):
-    rated = with_norm(_roster(prof), Q.named(prof), "product", "product_ctr")
+    rated = with_norm(_roster(prof), _named(prof), "product", "product_ctr")
     big = P.clickable() & (F.col("impressions") >= min_impr)
     quiet = P.clickable() & (F.col("clicks") == 0) & (F.col("impressions") >= noclick_impr)
     idle = (F.col("conversions") == 0) & (F.col("spend") >= noconv_spend)
@@ -174,13 +186,13 @@ def _rotation(prof: DataFrame, min_impr: int) -> DataFrame:
 
 
 def _reuse(prof: DataFrame) -> DataFrame:
-    per = Q.named(prof).groupBy("creative").agg(F.countDistinct("client").alias("clients"))
+    per = _named(prof).groupBy("creative").agg(F.countDistinct("client").alias("clients"))
     return per.agg(F.count_if(F.col("clients") > 1).alias("dupe_names"))
 
 
 def _fatigue(prof: DataFrame, min_impr: int = 5000, drop: float = 0.40) -> DataFrame:
     keys = Q.present(prof, ["client", "product", "campaign_id", "creative"])
-    g = Q.named(prof).groupBy(*keys).agg(
+    g = _named(prof).groupBy(*keys).agg(
         *[total(c) for c in ("impressions", "clicks", "early_impressions", "early_clicks")])
     late = F.col("impressions") - F.col("early_impressions")
     a = ctr("early_clicks", "early_impressions")
@@ -191,8 +203,10 @@ def _fatigue(prof: DataFrame, min_impr: int = 5000, drop: float = 0.40) -> DataF
 
 
 def _tags(prof: DataFrame) -> DataFrame:
+    parts = slices()
+
     def count(name):
-        return F.count_if(slices()[name])
+        return F.count_if(parts[name])
 
     return utm_per_creative(prof).agg(
         F.count("*").alias("utm_creatives"), count("tagged").alias("utm_tagged"),
@@ -200,7 +214,7 @@ def _tags(prof: DataFrame) -> DataFrame:
         count("fully_tagged").alias("utm_fully_tagged"),
         count("partially_tagged").alias("utm_partial"),
         count("untagged").alias("utm_untagged"), count("no_url").alias("utm_no_url"),
-        ratio(F.sum(F.when(slices()["tagged"], F.col("impressions"))), F.sum("impressions"))
+        ratio(F.sum(F.when(parts["tagged"], F.col("impressions"))), F.sum("impressions"))
         .alias("utm_tagged_impr_pct"))
 
 
@@ -228,8 +242,11 @@ def _completion(prof: DataFrame, min_impr: int = 5000, floor: float = 0.50) -> D
 
 def _folded(families: list[DataFrame]) -> DataFrame:
     """One row from families of one row each that have different columns."""
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), families)
-    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    types = {name: kind for df in families for name, kind in df.dtypes}
+    rows = [
+        df.selectExpr(*[c if c in df.columns else f"cast(null as {kind}) as {c}"
+                        for c, kind in types.items()]) for df in families]
+    return reduce(lambda a, b: a.union(b), rows).agg(*[F.max(c).alias(c) for c in types])
 
 
 COUNTS = ["creatives", "creative_campaign_pairs", "winners", "laggards", "no_clicks",
@@ -253,8 +270,8 @@ def _with_fatigue(row: DataFrame, min_days: int = 3) -> DataFrame:
 def performance_counts(creative: DataFrame, min_impr: int = 10000, noclick_impr: int = 5000,
                        noconv_spend: float = 50.0) -> DataFrame:
     """One row with the size of every family of creatives."""
-    prof = written_profile(creative)
-    rows = Q.named(prof)
+    prof = written_profile(measured(creative))
+    rows = _named(prof)
     head = rows.agg(F.countDistinct("creative").alias("creatives"),
                     F.min("first").alias("named_low"), F.max("last").alias("named_high"))
     row = _folded([head, *_performance(prof, min_impr, noclick_impr, noconv_spend)])
@@ -299,4 +316,4 @@ def creative_summary(creative: DataFrame, min_impressions: int = 1) -> DataFrame
     """One row: totals, blanks and their shares, features, window, issue counts and status, and
     the counts of the performance (perf_), tagging (utm_, null without URLs) and size (st_)
     audits."""
-    return summary_of(written_profile(creative), min_impressions).drop("banner_impressions")
+    return summary_of(written_profile(measured(creative)), min_impressions).drop("banner_impressions")

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from leakscope.operators import blocklist as B
-from leakscope.operators import creative_performance as P
 from leakscope.operators import creative_quality as Q
 from leakscope.operators import impact as I
 from leakscope.operators import leak as L
@@ -14,7 +13,6 @@ from leakscope.plans import sample as S
 from leakscope.plans.creative_queries import QUERIES as CREATIVE
 from leakscope.plans.delivery_queries import (
     QUERIES as DELIVERY,
-    SAMPLE_TIERS,
     buyers,
     key_blocklist,
     keys_of,
@@ -395,12 +393,24 @@ def sql_of(name):
     return (DELIVERY | CREATIVE)[name][1]
 
 
-@query("write_tables", """
-SELECT placement, placement_type, CAST(sum(impressions) AS BIGINT) AS impressions,
-  strftime(max(served_date), '%Y-%m-%d') AS last_served FROM leak GROUP BY 1, 2""")
+def by_name(parts: dict, column: str):
+    """Tables of different columns as one, with their names in `column`."""
+    out = None
+    for name, df in parts.items():
+        rows = df.withColumn(column, F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def by_name_sql(parts: dict, column: str) -> str:
+    return " UNION ALL BY NAME ".join(
+        f"SELECT '{name}' AS {column}, * FROM ({sql})" for name, sql in parts.items())
+
+
+@query("write_tables", by_name_sql(
+    {"offenders": sql_of("leak_offenders"), "by_type": sql_of("leak_by_type")}, "table_name"))
 def write_tables(spark, sf):
-    return both_copies(spark, sf, "offenders").select(
-        "placement", "placement_type", "impressions", "last_served")
+    return by_name({n: both_copies(spark, sf, n) for n in ("offenders", "by_type")}, "table_name")
 
 
 @query("write_tables_offenders", f"SELECT * FROM ({sql_of('leak_offenders')})")
@@ -438,18 +448,6 @@ def write_report_window(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("watchlist_export", f"""
-SELECT b.buyer, 'false' AS buyer_review, u.business_unit, CAST(u.impressions AS VARCHAR) AS impressions
-FROM units u JOIN buyers b USING (business_unit)
-WHERE u.impressions >= 10000 AND u.ctr > CAST(0.006 AS DOUBLE)""")
-def watchlist_export(spark, sf):
-    root = fresh_path(spark, "watchlists")
-    T.watchlist_export(
-        {name: DELIVERY[of][0](spark, sf) for name, of in WATCHLISTS.items()}, root)
-    saved = spark.read.option("header", True).csv(f"{root}/partner")
-    return saved.select("buyer", "buyer_review", "business_unit", "impressions")
-
-
 # Watch lists and the queries whose rows they hold.
 WATCHLISTS = {
     "partner": "partner_watchlist", "client": "client_watchlist",
@@ -467,36 +465,28 @@ def written_watchlist(spark, sf, name):
         spark, T.watchlist_columns(rows, buyers(spark, sf)).schema, f"{root}/{name}")
 
 
+_WATCHLIST_SQL = {}
 for _name, _of in WATCHLISTS.items():
     _rows = f"({sql_of(_of)})"
     if _of in ("low_ctr_account_blocked", "clients_on_blocked"):
         _rows = (f"(SELECT w.*, coalesce(b.buyer, '') AS buyer FROM {_rows} w "
                  "LEFT JOIN buyers b USING (business_unit))")
-    query(f"watchlist_export_{_name}", f"""
+    _WATCHLIST_SQL[_name] = f"""
 SELECT buyer, false AS buyer_review,
-  COLUMNS(lambda c: c NOT IN ('buyer', 'buyer_review', 'flagged')) FROM {_rows}""")(
+  COLUMNS(lambda c: c NOT IN ('buyer', 'buyer_review', 'flagged')) FROM {_rows}"""
+    query(f"watchlist_export_{_name}", _WATCHLIST_SQL[_name])(
         lambda spark, sf, n=_name: written_watchlist(spark, sf, n))
 
 
-@query("creative_findings_export", """
-SELECT 'blank_campaigns' AS finding, count(*) AS rows FROM blank_camps
-UNION ALL SELECT 'blank_rows', count(*) FROM checked WHERE blank_creative
-UNION ALL SELECT 'no_utm', count(*) FROM checked WHERE no_utm
-UNION ALL SELECT 'winners', count(*) FROM winners""")
-def creative_findings_export(spark, sf):
-    d = facts.creative(spark, sf)
-    root = fresh_path(spark, "findings")
-    none = Q.blank_campaigns_delivering(d, 10**15)
-    written = T.creative_findings_export(
-        {"blank_campaigns": Q.blank_campaigns(d), "blank_rows": Q.blank_rows(d),
-         "winners": P.creative_winners(d), "nothing": none},
-        {"no_utm": Q.creative_check_rows(d, "no_utm").drop("sizes")}, root)
-    out = None
-    for name in written:
-        part = spark.read.option("header", True).csv(f"{root}/{name}").agg(
-            F.lit(name).alias("finding"), F.count("*").alias("rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
+@query("watchlist_export", by_name_sql(_WATCHLIST_SQL, "watchlist"))
+def watchlist_export(spark, sf):
+    """All lists written at once and read back with all their columns."""
+    lists = {name: DELIVERY[of][0](spark, sf) for name, of in WATCHLISTS.items()}
+    dim, root = buyers(spark, sf), fresh_path(spark, "watchlists")
+    T.watchlist_export(lists, root, dim)
+    return by_name(
+        {name: saved_csv(spark, T.watchlist_columns(df, dim).schema, f"{root}/{name}")
+         for name, df in lists.items()}, "watchlist")
 
 
 # Findings and the queries whose rows they hold.
@@ -514,6 +504,17 @@ def written_finding(spark, sf, name):
     return saved_csv(spark, rows.schema, f"{root}/{name}")
 
 
+@query("creative_findings_export", by_name_sql(
+    {name: sql_of(of) for name, of in FINDINGS.items()}, "finding"))
+def creative_findings_export(spark, sf):
+    """All findings written at once and read back; one without rows is not written."""
+    rows = {name: CREATIVE[of][0](spark, sf) for name, of in FINDINGS.items()}
+    none = Q.blank_campaigns_delivering(facts.creative(spark, sf), 10**15)
+    root = fresh_path(spark, "findings")
+    names = T.creative_findings_export(rows | {"nothing": none}, {}, root)
+    return by_name({n: saved_csv(spark, rows[n].schema, f"{root}/{n}") for n in names}, "finding")
+
+
 for _name, _of in FINDINGS.items():
     query(f"creative_findings_export_{_name}", f"SELECT * FROM ({sql_of(_of)})")(
         lambda spark, sf, n=_name: written_finding(spark, sf, n))

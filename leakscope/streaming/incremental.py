@@ -11,7 +11,7 @@ from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from leakscope.lineage import written
 from leakscope.operators.creative_alert import alert_of
-from leakscope.operators.creative_profile import daily_sums, measured, profile, summary_of
+from leakscope.operators.creative_profile import daily_sums, measured, summary_of, written_profile
 from leakscope.sources.pooling import newest_rows
 
 # Files that a batch adds to a day at most.
@@ -218,7 +218,7 @@ def stored_sums(spark: SparkSession, state: str, upto: int | None = None) -> Dat
 def judge(spark: SparkSession, state: str, out: str, batch_id: int,
           min_impressions: int = 1) -> None:
     """Summary and alert of all delivery stored up to a batch, under the batch's id."""
-    prof = written(profile(stored_sums(spark, state, batch_id)), "creative-profile")
+    prof = written_profile(stored_sums(spark, state, batch_id))
     summary = written(summary_of(prof, min_impressions), "creative-summary")
     of = F.lit(batch_id).cast("long")
     _overwrite(alert_of(prof, summary).withColumn("batch_id", of), f"{out}/alerts", "batch_id")

@@ -45,7 +45,7 @@ def test_figures_of_a_feed_read_it_twice(spark):
 
     creative = facts.creative(spark, SMALL)
     assert plan(profile(measured(creative))).count("FileScan parquet") == 2
-    prof = written_profile(creative)
+    prof = written_profile(measured(creative))
     text = plan(alert_of(prof, summary_of(prof)))
     assert set(re.findall(r"Location: \w+ ?\(1 paths\)\[[^\]]*/([a-z-]+?)-[0-9a-f]{4,}", text)) <= {
         "creative-profile"}
