@@ -23,6 +23,9 @@ from leakscope.llm.components import components
 TABLES, HASHES = 20, 3
 SEED = 20240101
 BLOCK = 512
+# Buckets of up to so many vectors are compared together, up to so many pairs at a time.
+SMALL = 32
+PAIRS = 1 << 15
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -139,6 +142,44 @@ def _linked(table, code, left, right, cosine):
     return i, j
 
 
+def _small_pairs(starts: np.ndarray, sizes: np.ndarray):
+    """All pairs (i, j), i < j, of rows of small groups, for many groups of one size at a time."""
+    for size in np.unique(sizes):
+        first = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, PAIRS // len(i))
+        for a in range(0, len(first), step):
+            part = first[a : a + step, None]
+            yield (part + i).ravel(), (part + j).ravel()
+
+
+def _compared_together(held: dict, starts: np.ndarray, sizes: np.ndarray, cosine: float):
+    """(ids, links, root) of the links within many small groups: two rows for each link.
+
+    A row gives a vector, the copies of the other one, and the smaller of both ids.
+    """
+    rows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, sizes)])
+    dims = np.array([len(u) for u in held["unit"][rows]])
+    for dim in np.unique(dims):
+        of = rows[dims == dim]
+        place = np.zeros(len(held["id"]), np.int64)
+        place[of] = np.arange(len(of))
+        unit = np.stack(held["unit"][of])
+        mine = np.array([len(held["unit"][a]) == dim for a in starts])
+        for i, j in _small_pairs(starts[mine], sizes[mine]):
+            near = np.einsum("ij,ij->i", unit[place[i]], unit[place[j]]) >= cosine
+            i, j = i[near], j[near]
+            if not len(i):
+                continue
+            t, c = _first_meeting(held["codes"][i], held["codes"][j])
+            keep = (t == held["table"][i]) & (c == held["code"][i])
+            i, j = i[keep], j[keep]
+            a, b, copies = held["id"][i], held["id"][j], held["copies"]
+            least = np.minimum(a, b)
+            yield (np.concatenate([a, b]), np.concatenate([copies[j], copies[i]]).astype(float),
+                   np.concatenate([least, least]))
+
+
 def _comparer(cosine: float, tables: int, hashes: int):
     def compare(rows):
         """(ids, links, root) of one comparison: rows of a bucket's block or pair of blocks."""
@@ -187,16 +228,20 @@ def _comparer(cosine: float, tables: int, hashes: int):
                 continue
             key = np.stack([held[c] for c in ("bucket", "bi", "bj")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            ends = [*cuts.tolist()] + ([len(held["id"])] if batch is None else [])
-            a, found = 0, []
-            for b in ends:
-                if b - a > 1:
-                    rows = {k: v[a:b] for k, v in held.items()}
-                    rows["unit"] = np.stack(rows["unit"])
-                    if (got := compare(rows)) is not None:
-                        found.append(got)
-                a = b
-            held = {k: v[a:] for k, v in held.items()}
+            ends = np.array([*cuts.tolist()] + ([len(held["id"])] if batch is None else []), int)
+            if not len(ends):
+                continue
+            starts = np.concatenate([[0], ends[:-1]])
+            sizes = ends - starts
+            small = (sizes > 1) & (sizes <= SMALL) & (held["bi"][starts] == held["bj"][starts])
+            found = list(_compared_together(
+                held, starts[small], sizes[small], cosine)) if small.any() else []
+            for a, b in zip(starts[(sizes > 1) & ~small], ends[(sizes > 1) & ~small]):
+                rows = {k: v[a:b] for k, v in held.items()}
+                rows["unit"] = np.stack(rows["unit"])
+                if (got := compare(rows)) is not None:
+                    found.append(got)
+            held = {k: v[ends[-1] :] for k, v in held.items()}
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in zip(*found)],

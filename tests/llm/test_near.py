@@ -135,9 +135,10 @@ def test_polytope_equals_all_pairs(spark, sf):
     assert {r["vec_id"]: r["component_id"] for r in got} == want
 
 
-@pytest.mark.parametrize("block", [8, 512])
-def test_polytope_groups_blocks_and_odd_rows(spark, block):
+@pytest.mark.parametrize("block, small", [(8, 32), (512, 32), (512, 2), (512, 512)])
+def test_polytope_groups_blocks_and_odd_rows(spark, block, small, monkeypatch):
     """A group larger than a block, pairs near the threshold, copies, unusable vectors."""
+    monkeypatch.setattr(polytope, "SMALL", small)
     rng = np.random.default_rng(3)
     rows, i = [], 0
     centre = rng.normal(size=24)
