@@ -324,3 +324,69 @@ def test_figures_of_a_feed_without_urls_or_quartiles(spark):
     empty = S.creative_summary(f.limit(0)).first()
     assert empty["rows"] == 0 and empty.status == "clean" and empty.perf_fatigue == 0
     assert S.performance_counts(f.limit(0)).first().winners == 0
+
+
+def test_app_inventory_on_a_domain_list(spark):
+    """A listed app domain that is served as a site is asked to be checked; spelled wrongly, mended."""
+    from leakscope.functions import constants as K
+
+    domain = sorted(K.APP_DOMAINS)[0]
+    d = delivery(spark, dict(placement=domain), dict(placement="good.com"))
+    dim = spark.createDataFrame(
+        [(domain, "CTV", None), ("www.good.com", "Audio", None), ("other.com", "CTV", None)],
+        "match_key string, tab string, date_added date").withColumn("value", F.col("match_key"))
+    got = by(B.blocklist_sheet_audit(dim, d), "value")
+    assert set(got) == {domain, "www.good.com"}
+    assert got[domain].issue == "App inventory in domain form"
+    assert (got["www.good.com"].issue, got["www.good.com"].tabs) == ("Value mismatch", "Audio")
+
+
+def test_partners_above_the_default_tiers(spark):
+    from leakscope.operators import impact as I
+
+    d = delivery(
+        spark, dict(business_unit="hot", impressions=20000, clicks=600),
+        dict(business_unit="warm", impressions=20000, clicks=400),
+        dict(business_unit="big", impressions=40000, clicks=500, is_block=True),
+        dict(business_unit="cold", impressions=40000, clicks=100, placement="rec.com"))
+    fact = d.withColumn("internal_cost", F.col("spend")).withColumn("view_throughs", F.lit(0))
+    perf = V.perf_by_business_unit(fact)
+    assert {r.business_unit for r in perf.filter("flagged").collect()} == {"hot", "big"}
+    keys = spark.createDataFrame([("a.com",)], "match_key string")
+    buyers = spark.createDataFrame([("HOT", "Ann")], "partner string, buyer string")
+    after = I.after_recs(d, keys)
+    got = by(I.partner_watchlist(perf, d, None, buyers, after), "business_unit")
+    # without a block list the exposure is the leak
+    assert (got["big"].blocked_impr, got["big"].blocked_placements) == (40000, 1)
+    assert got["hot"].blocked_impr == 0 and got["hot"].buyer == "Ann" and got["big"].buyer == ""
+    assert got["hot"].pct_impr_on_recs == 1.0 and got["hot"].ctr_after_recs == 0.0
+    assert {r.grain for r in after.collect()} == {"partner", "client", "strategy"}
+    cold = after.filter("grain = 'partner' and business_unit = 'cold'").first()
+    assert (cold.ctr_after_recs, cold.pct_impr_on_recs) == (0.0025, 0.0)
+
+
+def test_grains_leave_out_rows_without_their_dimension(spark):
+    from leakscope.operators import impact as I
+
+    d = delivery(spark, dict(product=None), dict(client="D", strategy_name=None))
+    keys = spark.createDataFrame([("a.com",)], "match_key string")
+    got = {(r.grain, r.business_unit, r.client, r.product, r.strategy_name)
+           for r in I.after_recs(d, keys).collect()}
+    assert got == {("partner", "BU", None, None, None), ("client", None, "D", "Display", None),
+                   ("strategy", None, None, None, "S")}
+
+
+def test_small_blocks_fall_below_the_default_floor(spark):
+    blocks = spark.createDataFrame(
+        [("a", 999, "MFA"), ("b", 1000, "MFA"), ("c", 1, "Gaming app"), ("d", 1, "High CTR"),
+         ("e", 1, None)], "name string, impressions long, category string")
+    assert {r.name for r in R.quality_floor(blocks).collect()} == {"b", "c", "d"}
+
+
+@pytest.mark.parametrize("size,family", [
+    ("1601x901", "landscape/video"), ("401x1001", "vertical/story"), ("500x400", "square-ish"),
+    ("300x250", "IAB display"), ("x", "unknown"), ("(not specified)", "unknown")])
+def test_size_families(spark, size, family):
+    from leakscope.functions.creative import size_family
+
+    assert spark.range(1).select(size_family(F.lit(size))).first()[0] == family
