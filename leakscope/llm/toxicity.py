@@ -4,9 +4,13 @@ A window (a word between its blanks; longer words are cut into several) is compr
 dictionary. If the toxic one makes it shorter, the window is like toxic text. A document's score
 is a calibrated function of how many of its windows are shorter by how many bytes.
 
-The dictionaries hold the words that tell the classes apart: those with letter sequences found in
-many more toxic than ordinary documents, and the commonest ordinary words without them. They are
-learnt on one half of a bounded sample of labelled rows, the thresholds on the other half.
+zstandard trains both dictionaries on windows of three quarters of a bounded sample of labelled rows. A
+label marks a document, and most windows of a toxic one are ordinary. So the toxic dictionary is
+trained in rounds: the toxic documents are dealt into folds, each fold's windows are compressed
+with a dictionary trained on the other folds, and only windows that it makes shorter than the
+ordinary one does, by some bytes, are in the next round's samples. What a single document holds is
+never in the dictionary it is judged by, so only what toxic documents share remains. The other
+quarter of the sample calibrates the thresholds.
 """
 
 import re
@@ -28,22 +32,32 @@ SAMPLE = (4000, 8000)
 SAMPLE_CHARS = 20_000
 SAMPLE_PLACES = 10
 
-# A letter sequence is toxic if so many toxic documents hold it, and it is so many times as common
-# among them as among ordinary ones.
-SEQUENCES = (5, 6)
-SUPPORT = 4
-RATIO = 20.0
-ORDINARY_BYTES = 30_000
-TOXIC_BYTES = 60_000
+# Bytes of the dictionaries at most, and the windows of ordinary documents, evenly spaced among all
+# of the sample's, that the ordinary one is trained on at most.
+TOXIC_BYTES = 32_768
+ORDINARY_BYTES = 110_000
+ORDINARY_WINDOWS = 100_000
+# Parameters of zstandard's trainer: bytes of a segment, bytes of what is counted in it.
+SEGMENT, UNIT = 32, 6
+
+# Rounds and folds in which windows of toxic documents are chosen, and the bytes by which the toxic
+# dictionary must make a chosen one shorter.
+ROUNDS = 5
+FOLDS = 4
+CHOSEN_GAIN = 3
+
+# Each so many-th labelled document of a class calibrates the thresholds, the others train.
+CALIBRATING = 4
 
 WINDOW = 48
-# Windows of a longer word begin so far apart, so that each of its sequences is whole in one.
-STRIDE = WINDOW - max(SEQUENCES)
-LEVEL = 3
+# Windows of a longer word overlap by so many characters.
+OVERLAP = 8
+STRIDE = WINDOW - OVERLAP
+LEVEL = 9
 # zstandard finds no match in the last bytes of its input; this tail, at the end of both
 # dictionaries, stands there instead of the word's.
 TAIL = b"!Fk6[&Kp;`+Pu@e0Uz%Ej5Zo*Jy:_/Oi?d.Tn4Ys"
-STEPS = range(-2, 8)
+STEPS = range(-4, 16)
 KEPT = 150_000
 
 _WORDS = re.compile(r"\S+")
@@ -53,55 +67,68 @@ def windows(text: str) -> list[str]:
     found = _WORDS.findall(text.lower())
     if any(len(w) > WINDOW for w in found):
         found = [w[a : a + WINDOW] for w in found
-                 for a in range(0, max(1, len(w) - max(SEQUENCES)), STRIDE)]
+                 for a in range(0, max(1, len(w) - OVERLAP), STRIDE)]
     return found
 
 
-def _sequences(word: str) -> set[str]:
-    w = f" {word} "
-    return {w[i : i + n] for n in SEQUENCES for i in range(len(w) - n + 1)}
+def _data(window: str) -> bytes:
+    return f" {window} ".encode(errors="replace")
 
 
-def _dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and of the ordinary dictionary.
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of at most `size` bytes; the samples themselves where they are too few."""
+    total = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(
+            max(256, min(size, total)), samples, k=SEGMENT, d=UNIT, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too little to train on
+        return b"".join(samples)[-size:]
+
+
+def _compressor(content: bytes):
+    """Length of a window compressed with a dictionary of this content."""
+    held = zstandard.ZstdCompressionDict(
+        content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(level=LEVEL)
+    compress = zstandard.ZstdCompressor(
+        dict_data=held, compression_params=zstandard.ZstdCompressionParameters.from_level(
+            LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS)).compress
+    return lambda data: len(compress(data + TAIL))
 
-    Sequences are counted in toxic documents; in ordinary ones only those that are common there.
+
+def _chosen(own: list[list[bytes]], kept: list[list[bytes]], ordinary: dict) -> list[list[bytes]]:
+    """The windows of each toxic document that a dictionary of the other folds makes shorter.
+
+    `own` has all windows of the documents, `kept` those chosen before, `ordinary` the lengths with
+    the ordinary dictionary.
     """
-    words, size, seen = (Counter(), Counter()), [0, 0], Counter()
-    for text, y in zip(texts, toxic):
-        own = set(windows(text))
-        words[y].update(own)
-        size[y] += 1
-        if y:
-            seen.update(set().union(*map(_sequences, own)))
-    seen = {s: n for s, n in seen.items() if n >= SUPPORT}
-    ordinary_seen = Counter()
-    for w, n in words[0].items():
-        for s in _sequences(w):
-            if s in seen:
-                ordinary_seen[s] += n
-    least = RATIO * size[1] / max(size[0], 1)
-    telling = {s: n for s, n in seen.items() if n >= least * (ordinary_seen[s] + 0.5)}
-    ranked = sorted(((max((telling.get(s, 0) for s in _sequences(w)), default=0), w)
-                     for w in words[1]), reverse=True)
-    covered, chosen, held = set(), [], 0
-    for n, w in ranked:
-        if not n or held > TOXIC_BYTES:
-            break
-        new = {s for s in _sequences(w) if s in telling} - covered
-        if new:
-            chosen.append(w)
-            covered |= new
-            held += len(w.encode()) + 2
-    ordinary, held = [], 0
-    for w, _ in sorted(words[0].items(), key=lambda x: (-x[1], x[0])):
-        if held > ORDINARY_BYTES:
-            break
-        if not any(s in telling for s in _sequences(w)):
-            ordinary.append(w)
-            held += len(w.encode()) + 2
-    # the most telling words last: a nearer match is cheaper
-    return tuple((" " + "  ".join(reversed(part)) + " ").encode() for part in (chosen, ordinary))
+    out = [[] for _ in own]
+    for fold in range(FOLDS):
+        length = _compressor(_trained(
+            [w for i, ws in enumerate(kept) if i % FOLDS != fold for w in ws], TOXIC_BYTES))
+        gains = {}
+        for i in range(fold, len(own), FOLDS):
+            for w in own[i]:
+                if w not in gains:
+                    gains[w] = ordinary[w] - length(w)
+            out[i] = [w for w in own[i] if gains[w] >= CHOSEN_GAIN]
+    return out
+
+
+def _dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes]:
+    """Contents of the toxic and of the ordinary dictionary."""
+    plain = [_data(w) for text, y in zip(texts, toxic) if not y for w in windows(text)]
+    plain = plain[:: -(-len(plain) // ORDINARY_WINDOWS) or 1]
+    ordinary = _trained(plain, ORDINARY_BYTES)
+    own = [[_data(w) for w in dict.fromkeys(windows(text))]
+           for text, y in zip(texts, toxic) if y]
+    length = _compressor(ordinary)
+    lengths = {w: length(w) for w in {w for ws in own for w in ws}}
+    kept = own
+    for _ in range(ROUNDS):
+        kept = _chosen(own, kept, lengths)
+    return _trained([w for ws in kept for w in ws], TOXIC_BYTES), ordinary
 
 
 @dataclass
@@ -123,22 +150,12 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        options = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        self.compressors = []
-        for content in (model.ordinary, model.toxic):
-            held = zstandard.ZstdCompressionDict(
-                content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            self.compressors.append(
-                zstandard.ZstdCompressor(dict_data=held, compression_params=options).compress)
+        self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic)
 
     def _gain(self, word: str) -> int:
         """Bytes by which the toxic dictionary makes the window shorter."""
-        data = f" {word} ".encode(errors="replace") + TAIL
-        ordinary, toxic = self.compressors
-        return len(ordinary(data)) - len(toxic(data))
+        data = _data(word)
+        return self.ordinary(data) - self.toxic(data)
 
     def features(self, text: str) -> np.ndarray:
         known, found = self.known, Counter(windows(text))
@@ -168,9 +185,9 @@ def fit_texts(texts: list[str], toxic: list[int], share: float | None = None) ->
     if not texts:
         texts, toxic = [""], [0]
     one = np.array(toxic)
-    # alternate within each class, so that both halves hold both
+    # dealt within each class, so that both parts hold both
     place = np.where(one == 1, np.cumsum(one), np.cumsum(1 - one))
-    first = place % 2 == 1
+    first = place % CALIBRATING != 0
     content = _dictionaries([t for t, f in zip(texts, first) if f],
                             [y for y, f in zip(toxic, first) if f])
     blank = Model(*content, 0.0, 1.0, np.zeros(2 + 2 * len(STEPS)))

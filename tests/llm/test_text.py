@@ -287,8 +287,57 @@ def test_toxicity_held_out(spark):
     s, y = np.array(held).T
     order = s.argsort().argsort()
     auc = (order[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
-    assert auc >= 0.9
-    assert (s[y == 0] >= 0.5).mean() <= 0.02 and (s[y == 1] >= 0.5).mean() >= 0.6
+    assert auc >= 0.92
+    assert (s[y == 0] >= 0.5).mean() <= 0.02 and (s[y == 1] >= 0.5).mean() >= 0.7
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs):
+    """Scores from lengths that zstandard gives for each single window, one by one."""
+    import zstandard
+
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    options = zstandard.ZstdCompressionParameters.from_level(
+        9, write_content_size=False, write_checksum=False, write_dict_id=False,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    held = [zstandard.ZstdCompressionDict(content + toxicity.TAIL,
+                                          dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            for content in (model.ordinary, model.toxic)]
+    for d in held:
+        d.precompute_compress(level=9)
+    packers = [zstandard.ZstdCompressor(dict_data=d, compression_params=options) for d in held]
+    rows = docs.limit(20).collect()
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, model).collect()}
+    for row in rows:
+        gains = []
+        for w in (row["text"] or "").lower().split():
+            for part in [w[a : a + 48] for a in range(0, max(1, len(w) - 8), 40)]:
+                data = f" {part} ".encode() + toxicity.TAIL
+                a, b = (len(p.compress(data)) for p in packers)
+                gains.append(a - b)
+        counts = np.array([sum(g >= k for g in gains) for k in range(-4, 16)])
+        x = np.array([1, max(gains, default=0), *np.log1p(counts), *(counts / max(1, len(gains)))])
+        z = (x - model.mean) / model.scale @ model.weights
+        assert got[row["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_toxic_dictionary_holds_what_toxic_texts_share():
+    """Words of one toxic text only, and words that ordinary texts share, are left out."""
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("abcdefghij"), 9)) for _ in range(60)]
+    texts, toxic = [], []
+    for i in range(400):
+        words = list(rng.choice(plain, 30))
+        words += ["".join(rng.choice(list("klmnopqrst"), 9)) for _ in range(3)]
+        if i % 4 == 0:
+            words.insert(int(rng.integers(30)), ["uvwxyzuvw", "zyxwvzyxw"][i // 4 % 2])
+        texts.append(" ".join(words))
+        toxic.append(int(i % 4 == 0))
+    model = toxicity.fit_texts(texts, toxic)
+    # a segment may end before the last bytes of a word
+    assert b"uvwxyzuv" in model.toxic and b"zyxwvzyx" in model.toxic
+    assert not any(w.encode() in model.toxic for w in plain)
+    s = model.scorer().scores([" ".join(plain), "kmlnopkml " * 5, " ".join(plain[:9]) + " uvwxyzuvw"])
+    assert s[0] < 0.5 and s[1] < 0.5 and s[2] >= 0.5
 
 
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
@@ -312,7 +361,7 @@ def test_windows_overlap():
         word = "".join(chr(0x4E00 + i) for i in range(n))
         found = toxicity.windows(f"a {word} b")[1:-1]
         assert all(len(w) <= toxicity.WINDOW for w in found)
-        k = max(toxicity.SEQUENCES)
+        k = toxicity.OVERLAP
         assert {word[i : i + k] for i in range(max(1, n - k + 1))} <= {
             w[i : i + k] for w in found for i in range(len(w))}
         assert found[-1].endswith(word[-1]) and found[0].startswith(word[0])
