@@ -1,11 +1,11 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 A window (a word between its blanks; longer words are cut into several) is compressed with each
 dictionary. If the toxic one makes it shorter, the window is like toxic text. A document's score
 is a calibrated function of how many of its windows are shorter by how many bytes.
 
-zstandard trains both dictionaries on windows of three quarters of a bounded sample of labelled rows. A
-label marks a document, and most windows of a toxic one are ordinary. So the toxic dictionary is
+zstandard trains both dictionaries on windows of three quarters of a bounded sample of labelled
+rows. A label marks a document, and most windows of a toxic one are ordinary. So the toxic dictionary is
 trained in rounds: the toxic documents are dealt into folds, each fold's windows are compressed
 with a dictionary trained on the other folds, and only windows that it makes shorter than the
 ordinary one does, by some bytes, are in the next round's samples. What a single document holds is
@@ -80,7 +80,7 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     total = sum(map(len, samples))
     try:
         return zstandard.train_dictionary(
-            max(256, min(size, total)), samples, k=SEGMENT, d=UNIT, level=LEVEL).as_bytes()
+            min(size, max(1024, total)), samples, k=SEGMENT, d=UNIT, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little to train on
         return b"".join(samples)[-size:]
 

@@ -324,20 +324,20 @@ def test_toxic_dictionary_holds_what_toxic_texts_share():
     """Words of one toxic text only, and words that ordinary texts share, are left out."""
     rng = np.random.default_rng(4)
     plain = ["".join(rng.choice(list("abcdefghij"), 9)) for _ in range(60)]
-    texts, toxic = [], []
-    for i in range(400):
-        words = list(rng.choice(plain, 30))
-        words += ["".join(rng.choice(list("klmnopqrst"), 9)) for _ in range(3)]
-        if i % 4 == 0:
-            words.insert(int(rng.integers(30)), ["uvwxyzuvw", "zyxwvzyxw"][i // 4 % 2])
-        texts.append(" ".join(words))
-        toxic.append(int(i % 4 == 0))
-    model = toxicity.fit_texts(texts, toxic)
+
+    def text(bad):
+        own = ["".join(rng.choice(list("klmnopqrst"), 9)) for _ in range(3)]
+        words = [*rng.choice(plain, 30), *own]
+        return " ".join([*words[:12], bad, *words[12:]])
+
+    bad = ["uvwxyzuvw", "zyxwvzyxw", "", "", "", "", "", ""]
+    texts = [text(bad[i % 8]) for i in range(800)]
+    model = toxicity.fit_texts(texts, [int(i % 8 < 2) for i in range(800)])
     # a segment may end before the last bytes of a word
     assert b"uvwxyzuv" in model.toxic and b"zyxwvzyx" in model.toxic
     assert not any(w.encode() in model.toxic for w in plain)
-    s = model.scorer().scores([" ".join(plain), "kmlnopkml " * 5, " ".join(plain[:9]) + " uvwxyzuvw"])
-    assert s[0] < 0.5 and s[1] < 0.5 and s[2] >= 0.5
+    scores = model.scorer().scores([text(bad[i % 8]) for i in range(80)])
+    assert [s >= 0.5 for s in scores] == [i % 8 < 2 for i in range(80)]
 
 
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
@@ -375,7 +375,7 @@ def test_long_labelled_texts_take_part(spark):
     labels = [(i, i % 2) for i in range(300)]
     model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"),
                          spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert b"slurword" in model.toxic
+    assert b"slurwor" in model.toxic  # a segment may end before the last byte
 
 
 def test_toxicity_does_not_read_held_out_labels(spark, docs):
