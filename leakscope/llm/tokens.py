@@ -4,6 +4,9 @@ A unit is a stretch of text that the tokenizer's own pre-tokenizer never crosses
 of a text are the ids of its units, one after another. Each Python worker keeps the units it has
 met lately, in bounded memory; texts for which the rule does not hold (special strings of the
 vocabulary, rare separators) are encoded directly.
+
+For vocabularies that drop white space the units of many texts are cut, made distinct and joined
+to their ids as arrays, so that only distinct units become Python objects.
 """
 
 import gc
@@ -13,6 +16,7 @@ import struct
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from leakscope.llm import memory
 
@@ -33,6 +37,15 @@ _BARE = re.compile(rf"{_SHORT_FORMS}|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _WITH_BLANK = re.compile(
     rf"{_SHORT_FORMS}| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
+# Kinds of bytes: blanks, letters, digits, marks; bytes of other characters.
+_BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_KINDS = np.full(256, _MARK, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[128:] = _OTHER
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -61,7 +74,8 @@ class Units:
     """Ids of distinct units for one vocabulary file of the `tokenizers` library.
 
     `spaced`: a unit is white space with the word behind it (byte-level vocabularies, which keep
-    white space); else the bare lower-case word (vocabularies that drop both). `code`: struct code
+    white space); else a lower-case pre-token, or a word with characters beyond ASCII as it stands
+    (vocabularies that drop white space and case). `code`: struct code
     of an id, or None to keep the number of ids only.
     """
 
@@ -95,25 +109,20 @@ class Units:
             ids += [t.id for t in merged(spelled)]
         return self._value(ids)
 
-    def _split(self, text: str) -> list[str] | None:
-        """Units of a text; None if the text has to be encoded as a whole."""
-        if _SEPARATORS.search(text) or any(s in text for s in self.specials):
-            return None
-        if self.spaced:
-            return _SPACED.findall(text)
-        # the two letters whose lower case depends on their neighbours or is two characters
-        return (text if "\u03a3" in text or "\u0130" in text else text.lower()).split()
+    def _direct(self, text: str) -> bool:
+        """Whether a text has to be encoded as a whole."""
+        return bool(_SEPARATORS.search(text)) or any(s in text for s in self.specials)
 
     def of(self, texts: list[str]) -> list:
         """For each text the bytes of its ids, or their number."""
         gc.disable()  # very many small objects, none of them in a cycle
         try:
-            return self._of(texts)
+            return self._of(texts) if self.spaced else self._of_bare(texts)
         finally:
             gc.enable()
 
     def _of(self, texts: list[str]) -> list:
-        split = [self._split(t) for t in texts]
+        split = [None if self._direct(t) else _SPACED.findall(t) for t in texts]
         if len(self.known) > KEPT_UNITS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -135,6 +144,91 @@ class Units:
                 del known[u]
         return out
 
+    def _values(self, distinct: list[str]) -> list:
+        if len(self.known) > KEPT_UNITS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = list(map(known.get, distinct))
+        new = [i for i, value in enumerate(out) if value is None]
+        # in order, as neighbours take the same merges
+        for i in sorted(new, key=distinct.__getitem__):
+            u = distinct[i]
+            value = older.get(u)
+            out[i] = value = self._unit(u) if value is None else value
+            if len(u) <= LONG_UNIT:
+                known[u] = value
+        return out
+
+    def _of_bare(self, texts: list[str]) -> list:
+        direct = {i: self._encode(t) for i, t in enumerate(texts) if self._direct(t)}
+        encoded = [b"" if i in direct else t.encode() for i, t in enumerate(texts)]
+        units, ends = bare_units(encoded)
+        units = units.dictionary_encode()
+        values = self._values(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = units.indices.to_numpy()
+        if self.code is None:
+            ends = np.append(0, np.cumsum(np.array(values, np.int64)[which]))[ends]
+            out = np.diff(ends, prepend=0).tolist()
+        else:
+            kind = np.dtype(f"<{self.code}")
+            size = np.array([len(v) for v in values], np.int64) // kind.itemsize
+            first = np.cumsum(size) - size
+            size, first = size[which], first[which]
+            after = np.cumsum(size)
+            at = np.repeat(first - after + size, size)
+            at += np.arange(len(at))
+            ids = np.frombuffer(b"".join(values), kind)[at].tobytes()
+            ends = (np.append(0, after)[ends] * kind.itemsize).tolist()
+            out = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        for i, value in direct.items():
+            out[i] = value
+        return out
+
+
+def bare_units(texts: list[bytes]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Units of UTF-8 texts without white space, and how many there are up to each text's end.
+
+    A unit is a pre-token of ASCII text, in lower case: a run of letters or of marks, a digit, or
+    a short form. Words with other characters are one unit each, as they stand.
+    """
+    data = np.frombuffer(b"\n".join([*texts, b"   "]), np.uint8)  # room to look ahead
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    kinds = _KINDS[data]
+    filled = kinds != _BLANK
+    starts = filled & (kinds == _DIGIT)
+    starts[0] = filled[0]
+    starts[1:] |= filled[1:] & (kinds[1:] != kinds[:-1])
+    lower = _LOWER[data]
+
+    # "'s" at the start of a run of marks: the run ends there, and letters behind it start anew
+    at = np.flatnonzero(starts & (data == ord("'")))
+    one, two = lower[at + 1], lower[at + 2]
+    single = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    double = ((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))
+              | (two == ord("l")) & (one == ord("l")))
+    for which, length in ((single, 2), (double, 3)):
+        starts[at[which] + 1] = False
+        behind = at[which] + length
+        starts[behind] |= filled[behind]
+
+    other = np.flatnonzero(kinds == _OTHER)
+    if len(other):
+        edges = np.flatnonzero(np.diff(filled, prepend=False))
+        # words and blanks in turn
+        words = np.unique(np.searchsorted(edges, other, "right") - 1)
+        inside = np.zeros(len(data), np.int8)
+        inside[edges[words]], inside[edges[words + 1]] = 1, -1
+        inside = np.cumsum(inside, dtype=np.int8).astype(bool)
+        starts &= ~inside
+        starts[edges[words]] = True
+        lower = np.where(inside, data, lower)
+
+    counts = np.searchsorted(np.flatnonzero(starts), ends)
+    bare = lower[filled]
+    offsets = np.append(np.flatnonzero(starts[filled]), len(bare))
+    return pa.LargeStringArray.from_buffers(
+        len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(bare)), counts
+
 
 def units(path: str, spaced: bool, code: str | None) -> Units:
     """The units that this Python process keeps for a vocabulary; tasks in turn share them."""

@@ -32,6 +32,27 @@ def test_units_equal_the_tokenizer(docs, path, spaced):
     assert tokens.Units(path, spaced, None).of(texts) == [len(x) for x in ids_of(path, texts)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bare_units_equal_the_tokenizer(seed):
+    """Short forms, marks, digits, blanks and other characters in any order."""
+    rng = np.random.default_rng(seed)
+    signs = list("'''''strevlmdSTL aZ_5-,.\n\t\x00\x7f") + [
+        "\u00e9", "\u00c9", "\u0301", "\u00a0", "\u2019", "\u4e2d", "\u0130", "\u00b2", "\U0001f600"]
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 60, 700)] + ["", "'", "'r", "é"]
+    for part in (texts, [""], [" "], ["'s"]):
+        units = tokens.Units(WORD, False, "I")
+        want = ids_of(WORD, part)
+        for _ in range(2):
+            assert [tokens.as_ids(x, "I").tolist() for x in units.of(part)] == want
+        assert tokens.Units(WORD, False, None).of(part) == [len(x) for x in want]
+
+
+def test_a_word_is_merged_once_with_any_marks():
+    units = tokens.Units(WORD, False, "I")
+    units.of(["Word, word. (word) WORD's", "word" + "x" * 300, "word! 1word"])
+    assert set(units.known) == {"word", ",", ".", "(", ")", "'s", "!", "1"}
+
+
 def test_counts(docs, odd_docs, no_docs):
     for df in (docs.limit(300), odd_docs):
         rows = df.select("doc_id", "text").collect()
